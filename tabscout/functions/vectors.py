@@ -1,24 +1,19 @@
 """Vector expressions and the default, weight-free text encoder."""
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import functools
+import hashlib
+import re
 
-from tabscout.functions.hashing import h
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, functions as F
 
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def words(text) -> Column:
-    return F.filter(F.split(F.lower(_c(text)), "[^a-z0-9]+"), lambda t: t != "")
-
-
-def _code(token: Column, dim: int) -> Column:
-    """Bucket d of a token, as d where it counts up and d + dim where it counts down."""
-    return (h(token) % (2 * dim)).cast("int")
-
-
 def norm(vector) -> Column:
     return F.sqrt(F.aggregate(_c(vector), F.lit(0.0), lambda s, x: s + x * x))
 
@@ -32,24 +27,38 @@ def normalise(vector) -> Column:
     )[0]
 
 
-def counts_by_bucket(tokens: Column, dim: int) -> Column:
-    """Signed token counts per bucket of one text, inside the row: no shuffle."""
-    # a one-element transform binds the bucket list, so it is hashed once and not once per bucket
-    return F.transform(
-        F.array(F.transform(tokens, lambda t: _code(t, dim))),
-        lambda codes: F.transform(
-            F.sequence(F.lit(0), F.lit(dim - 1)),
-            lambda d: F.aggregate(
-                codes, F.lit(0.0),
-                lambda s, c: s + F.when(c == d, 1.0).when(c == d + dim, -1.0).otherwise(0.0),
-            ),
-        ),
-    )[0]
+@functools.lru_cache(maxsize=1 << 18)
+def _code(token: str) -> int:
+    """The 60-bit hash of ``functions.hashing.h`` for one token."""
+    return int(hashlib.md5(token.encode()).hexdigest()[:15], 16)
+
+
+_TOKEN = re.compile("[a-z0-9]+")
+
+
+def hash_texts(texts: list[str | None], dim: int) -> np.ndarray:
+    """Signed token counts of each text, unit length: a token counts in bucket hash mod dim, with
+    the sign given by the next bit of the hash. A text without tokens is the zero vector."""
+    found = [[_code(t) for t in _TOKEN.findall((s or "").lower())] for s in texts]
+    codes = np.fromiter((c for f in found for c in f), dtype=np.int64) % (2 * dim)
+    row = np.repeat(np.arange(len(found)), [len(f) for f in found])
+    sign = np.where(codes >= dim, -1.0, 1.0)
+    sums = np.bincount(row * dim + codes % dim, weights=sign, minlength=len(found) * dim)
+    sums = sums.reshape(len(found), dim)
+    length = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+    return sums / np.where(length > 0, length, 1.0)
 
 
 def hash_encode(text, dim: int = 64) -> Column:
-    """Hashed bag of words, unit length."""
-    return normalise(counts_by_bucket(words(text), dim))
+    """Hashed bag of words per text in Arrow batches: no weights, no shuffle."""
+
+    @F.arrow_udf("array<double>")
+    def encode(texts: pa.Array) -> pa.Array:
+        m = hash_texts(texts.to_pylist(), dim)
+        offsets = np.arange(0, m.size + 1, dim, dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(m.ravel()))
+
+    return encode(_c(text))
 
 
 def dot(a, b) -> Column:

@@ -283,6 +283,10 @@ def plain_texts(corpus: DataFrame, view: str = "full") -> DataFrame:
     return nonempty(corpus).select("database_name", "table_name", serialize(view).alias("text"))
 
 
+def _div(a: Column, n: int) -> Column:
+    return F.call_function("div", a, F.lit(n))
+
+
 def mask_tokens(
     texts: DataFrame, text: str = "text", ids: tuple[str, ...] = ("database_name", "table_name"),
     window: int = 512, percent: int = 15, seed: int = 42, mask: str = "[MASK]",
@@ -295,22 +299,26 @@ def mask_tokens(
     """
     key = [F.col(c) for c in ids]
 
-    def masked(toks: Column, t: Column, i: Column) -> Column:
-        kind = h(seed, *key, i, "kind") % 10
-        swap = F.get(toks, (h(seed, *key, i, "swap") % F.size(toks)).cast("int"))
-        chosen = h(seed, *key, i, "choose") % 100 < percent
-        new = F.when(chosen & (kind < 8), F.lit(mask)).when(chosen & (kind == 8), swap).otherwise(t)
-        return F.struct(new.alias("token"), F.when(chosen, t).alias("label"))
+    def masked(t: Column, i: Column) -> Column:
+        # one hash per token, bound by a one-element transform, serves all three draws
+        def draw(r: Column) -> Column:
+            chosen, kind = r % 100 < percent, _div(r, 100) % 10
+            swap = F.get("_toks", (_div(r, 1000) % F.size("_toks")).cast("int"))
+            new = F.when(chosen & (kind < 8), F.lit(mask)).when(chosen & (kind == 8), swap).otherwise(t)
+            return F.struct(new.alias("token"), F.when(chosen, t).alias("label"))
+
+        return F.transform(F.array(h(seed, *key, i)), draw)[0]
 
     toks = F.filter(F.split(F.col(text), r"\s+"), lambda t: t != "")
-    whole = texts.withColumn("_toks", toks).select(
-        *ids, F.transform("_toks", lambda t, i: masked(F.col("_toks"), t, i)).alias("_m")
+    whole = (
+        texts.filter(F.col(text).rlike(r"\S")).withColumn("_toks", toks)
+        .select(*ids, F.transform("_toks", masked).alias("_m"))
     )
     cut = F.transform(
         F.sequence(F.lit(0), F.floor((F.size("_m") - 1) / window)),
         lambda w: F.slice(F.col("_m"), (w * window + 1).cast("int"), F.lit(window)),
     )
-    return whole.filter(F.size("_m") > 0).select(*ids, F.posexplode(cut).alias("window", "_w")).select(
+    return whole.select(*ids, F.posexplode(cut).alias("window", "_w")).select(
         *ids, "window",
         F.transform("_w", lambda x: x["token"]).alias("tokens"),
         F.transform("_w", lambda x: x["label"]).alias("labels"),

@@ -202,9 +202,8 @@ def mask_sql(texts: str, ids: str, text: str = "text") -> str:
     return f"""
 toks AS (SELECT {ids}, list_filter(string_split_regex({text}, '\\s+'), lambda t: t <> '') AS toks FROM {texts}),
 one AS (SELECT {ids}, toks, unnest(toks) AS tok, generate_subscripts(toks, 1) - 1 AS i FROM toks),
-hashed AS (
-  SELECT *, {sql_h(*key, 'i', "'choose'")} % 100 < 15 AS chosen, {sql_h(*key, 'i', "'kind'")} % 10 AS kind,
-         toks[1 + {sql_h(*key, 'i', "'swap'")} % len(toks)] AS swap FROM one),
+drawn AS (SELECT *, {sql_h(*key, 'i')} AS r FROM one),
+hashed AS (SELECT *, r % 100 < 15 AS chosen, (r // 100) % 10 AS kind, toks[1 + (r // 1000) % len(toks)] AS swap FROM drawn),
 windows AS (
   SELECT {ids}, (i // 512)::INTEGER AS "window",
          list(CASE WHEN chosen AND kind < 8 THEN '[MASK]' WHEN chosen AND kind = 8 THEN swap ELSE tok END ORDER BY i) AS tokens,
