@@ -19,7 +19,7 @@ def progress(
     best = running(log, value=loss, how="min", name="best_before", inclusive=False, **args)
     marked = best.withColumn(
         "improved", F.col("best_before").isNull() | (F.col(loss) < F.col("best_before"))
-    ).withColumn("_at", F.when("improved", F.col(epoch)))
+    ).withColumn("_at", F.when(F.col("improved"), F.col(epoch)))
     last = running(marked, value="_at", how="max", name="_last", **args).drop("_at")
     return (
         last.withColumn("best_val_loss", F.least("best_before", loss))

@@ -21,12 +21,14 @@ def hash_bucket(hash_col: Column, buckets: int = HASH_BUCKETS) -> Column:
 
 
 def number_within(
-    df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column], name: str = "ord"
+    df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column], name: str = "ord",
+    size: str | None = None,
 ) -> DataFrame:
     """Zero-based position of each row in its group, by (bucket, order).
 
     ``bucket`` must not decrease along ``order``. With no keys the whole table is numbered; the
-    only unpartitioned window then runs over one row per bucket.
+    only unpartitioned window then runs over one row per bucket. ``size`` names a column for the
+    number of rows of the group.
     """
     keys = list(keys)
     marked = df.withColumn("_bucket", bucket)
@@ -34,8 +36,9 @@ def number_within(
     before = (
         Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     )
+    total = [F.sum("_n").over(Window.partitionBy(*keys)).alias(size)] if size else []
     offsets = sizes.select(
-        *keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
+        *keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), *total
     )
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     return (

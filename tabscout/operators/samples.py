@@ -4,11 +4,14 @@ Every draw is an equi-join on an ordinal. Ids are joined first, texts are attach
 """
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabscout.functions.hashing import h, pick, pick_other
 from tabscout.functions.views import fan_out, serialize
 from tabscout.operators.numbering import hash_bucket, number_sorted, number_within
+from tabscout.session import written
 
 
 def nonempty(corpus: DataFrame) -> DataFrame:
@@ -21,23 +24,32 @@ def first_databases(corpus: DataFrame, n: int) -> DataFrame:
     return corpus.join(kept, "database_name", "left_semi")
 
 
-def table_index(corpus: DataFrame) -> DataFrame:
-    """(database_name, table_name, tab_ord): tables numbered inside their database by hash."""
+class Index(NamedTuple):
+    """databases(database_name, db_ord, n_tables), tables(database_name, table_name, tab_ord, n_tables)."""
+
+    databases: DataFrame
+    tables: DataFrame
+
+
+def index(corpus: DataFrame) -> Index:
+    """Databases, and the non-empty tables inside each, numbered in the order of their hash.
+
+    The numbered tables are written once: every draw looks them up several times.
+    """
     hashed = nonempty(corpus).select("database_name", "table_name").withColumn(
         "_h", h(F.col("database_name"), F.col("table_name"))
     )
-    return number_within(
-        hashed, ["database_name"], hash_bucket(F.col("_h")), ["_h", "table_name"], "tab_ord"
-    ).drop("_h")
-
-
-def database_index(corpus: DataFrame) -> DataFrame:
-    """(database_name, db_ord, n_tables): databases numbered by hash."""
-    sized = (
-        nonempty(corpus).groupBy("database_name").agg(F.count(F.lit(1)).alias("n_tables"))
-        .withColumn("_h", h(F.col("database_name")))
+    tables = written(
+        number_within(
+            hashed, ["database_name"], hash_bucket(F.col("_h")), ["_h", "table_name"], "tab_ord", size="n_tables"
+        ).drop("_h"),
+        "tables",
+    )
+    one_each = tables.filter(F.col("tab_ord") == 0).select(
+        "database_name", "n_tables", h(F.col("database_name")).alias("_h")
     )
-    return number_within(sized, [], hash_bucket(F.col("_h")), ["_h", "database_name"], "db_ord").drop("_h")
+    databases = number_within(one_each, [], hash_bucket(F.col("_h")), ["_h", "database_name"], "db_ord").drop("_h")
+    return Index(databases, tables)
 
 
 def fk_edges(corpus: DataFrame) -> DataFrame:
@@ -68,9 +80,8 @@ def pair_space(corpus: DataFrame, label: float = 0.5) -> DataFrame:
 
     A database of n tables has n(n-1)/2 pairs; this states every one of them in n rows.
     """
-    sizes = database_index(corpus).select("database_name", "n_tables")
     last = F.col("n_tables") - 1
-    return table_index(corpus).join(sizes, "database_name").select(
+    return index(corpus).tables.select(
         "database_name", "table_name", "tab_ord",
         (F.col("tab_ord") + 1).alias("first_partner"), last.alias("last_partner"),
         (last - F.col("tab_ord")).alias("n_pairs"), F.lit(label).alias("label"),
@@ -78,7 +89,7 @@ def pair_space(corpus: DataFrame, label: float = 0.5) -> DataFrame:
 
 
 def positive_pairs(
-    corpus: DataFrame, partners_per_table: int | None = None, seed: int = 42, label: float = 0.5
+    ix: Index, partners_per_table: int | None = None, seed: int = 42, label: float = 0.5
 ) -> DataFrame:
     """Same-database pairs (database_name, table_a, table_b, label).
 
@@ -88,14 +99,12 @@ def positive_pairs(
     fewer), else all of them, which is quadratic in the size of a database. No join key is hot:
     each table is the partner of as many tables as it has partners.
     """
-    sizes = database_index(corpus).select("database_name", "n_tables")
     n, own = F.col("n_tables"), F.col("tab_ord")
     steps = F.floor(n / 2)
     taken = steps if partners_per_table is None else F.least(steps, F.lit(partners_per_table))
-    index = table_index(corpus)
     start = pick(steps, seed, F.col("database_name"), "step")
     anchors = (
-        index.join(sizes, "database_name").filter(steps > 0)
+        ix.tables.filter(steps > 0)
         .select(
             "database_name", F.col("table_name").alias("table_a"), "tab_ord", "n_tables",
             F.explode(F.transform(F.sequence(F.lit(0), taken - 1), lambda t: 1 + (start + t) % steps)).alias("step"),
@@ -104,7 +113,7 @@ def positive_pairs(
         .filter((F.col("step") * 2 < n) | (own * 2 < n))
         .withColumn("partner", (own + F.col("step")) % n)
     )
-    partners = index.select(
+    partners = ix.tables.select(
         "database_name", F.col("table_name").alias("table_b"), F.col("tab_ord").alias("partner")
     )
     return anchors.join(partners, ["database_name", "partner"]).select(
@@ -112,10 +121,9 @@ def positive_pairs(
     )
 
 
-def negative_pairs(corpus: DataFrame, seed: int = 42, negatives_per_db: int = 1, label: float = 0.0) -> DataFrame:
+def negative_pairs(ix: Index, seed: int = 42, negatives_per_db: int = 1, label: float = 0.0) -> DataFrame:
     """Per database: one of its tables with a table of another database."""
-    dbs = database_index(corpus)
-    tables = table_index(corpus)
+    dbs, tables = ix
     n_dbs = dbs.agg(F.count(F.lit(1))).scalar()
     others = dbs.select(
         F.col("db_ord").alias("other_ord"), F.col("database_name").alias("other_db"),
@@ -142,10 +150,11 @@ def negative_pairs(corpus: DataFrame, seed: int = 42, negatives_per_db: int = 1,
 
 def pairs(corpus: DataFrame, partners_per_table: int | None = None, seed: int = 42) -> DataFrame:
     """Positives and negatives (db_a, table_a, db_b, table_b, label) with their shuffled position."""
-    pos = positive_pairs(corpus, partners_per_table, seed).select(
+    ix = index(corpus)
+    pos = positive_pairs(ix, partners_per_table, seed).select(
         F.col("database_name").alias("db_a"), "table_a", F.col("database_name").alias("db_b"), "table_b", "label"
     )
-    neg = negative_pairs(corpus, seed).select(
+    neg = negative_pairs(ix, seed).select(
         F.col("database_name").alias("db_a"), "table_a", F.col("other_db").alias("db_b"), "table_b", "label"
     )
     return shuffled(pos.unionByName(neg), ["db_a", "table_a", "db_b", "table_b"], seed)
@@ -181,7 +190,7 @@ def triplets(
     another database.
     """
     spark = corpus.sparkSession
-    dbs, tables = database_index(corpus), table_index(corpus)
+    dbs, tables = index(corpus)
     n_dbs = dbs.agg(F.count(F.lit(1))).scalar()
     i = F.col("attempt")
 

@@ -1,3 +1,3 @@
 """Everything that is registered."""
-from tabscout.plans import sample_queries, vector_queries, view_queries  # noqa: F401
+from tabscout.plans import loss_queries, run_queries, sample_queries, vector_queries, view_queries  # noqa: F401
 from tabscout.plans.registry import ORACLES, QUERIES  # noqa: F401

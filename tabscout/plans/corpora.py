@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tabscout.plans.registry import table
+from tabscout.session import written
 
 ROW_LIMIT = 3
 
@@ -98,6 +99,11 @@ def order_corpus(spark: SparkSession, sf_dir: str, row_limit: int = ROW_LIMIT) -
     )
 
 
+def stored_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order corpus as a written table, for jobs that read it more than once."""
+    return written(order_corpus(spark, sf_dir), "corpus")
+
+
 def _sql_cells(layout) -> str:
     return "[" + ", ".join(
         f"{c}::DECIMAL(18,2)::VARCHAR" if c in _DECIMALS else f"{c}::VARCHAR" for c, _ in layout

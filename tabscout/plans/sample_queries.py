@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabscout.operators import samples
-from tabscout.plans.corpora import CORPUS_SQL, SQL_FULL, SQL_SCHEMA, order_corpus
+from tabscout.plans.corpora import CORPUS_SQL, SQL_FULL, SQL_SCHEMA, order_corpus, stored_corpus
 from tabscout.plans.registry import query, sql_h, table
 
 SEED = 42
@@ -118,7 +118,7 @@ def triplet_goal(corpus) -> int:
 SELECT e.database_name, e.table_name, e.pos::INTEGER AS pos, e.reference_table
 FROM e JOIN corpus c ON c.database_name = e.database_name AND c.table_name = e.reference_table""")
 def fk_targets(spark, sf_dir):
-    return samples.fk_targets(order_corpus(spark, sf_dir)).select(
+    return samples.fk_targets(stored_corpus(spark, sf_dir)).select(
         "database_name", "table_name", "pos", "reference_table"
     )
 
@@ -132,12 +132,12 @@ def pc_pair_space(spark, sf_dir):
 
 @query("pc_positive_pairs", f"WITH {INDEX_SQL}, {POSITIVE_SQL} SELECT * FROM positives")
 def pc_positive_pairs(spark, sf_dir):
-    return samples.positive_pairs(order_corpus(spark, sf_dir), PARTNERS, SEED)
+    return samples.positive_pairs(samples.index(order_corpus(spark, sf_dir)), PARTNERS, SEED)
 
 
 @query("pc_negative_pairs", f"WITH {INDEX_SQL}, {NEGATIVE_SQL} SELECT * FROM negatives")
 def pc_negative_pairs(spark, sf_dir):
-    return samples.negative_pairs(order_corpus(spark, sf_dir), SEED)
+    return samples.negative_pairs(samples.index(order_corpus(spark, sf_dir)), SEED)
 
 
 @query("pc_pairs", f"WITH {INDEX_SQL}, {POSITIVE_SQL}, {NEGATIVE_SQL}, {PAIRS_SQL} SELECT * FROM shuffled")
@@ -167,13 +167,13 @@ _TRIPLET_COLUMNS = "attempt, db, anchor, positive, negative_db, negative, anchor
 
 @query("tc_triplets", f"WITH {INDEX_SQL}, {triplet_sql(True)} SELECT {_TRIPLET_COLUMNS} FROM texted")
 def tc_triplets(spark, sf_dir):
-    corpus = order_corpus(spark, sf_dir)
+    corpus = stored_corpus(spark, sf_dir)
     return samples.triplet_texts(corpus, samples.triplets(corpus, triplet_goal(corpus), SEED))
 
 
 @query("tc_triplets_samedb", f"WITH {INDEX_SQL}, {triplet_sql(False)} SELECT {_TRIPLET_COLUMNS} FROM texted")
 def tc_triplets_samedb(spark, sf_dir):
-    corpus = order_corpus(spark, sf_dir)
+    corpus = stored_corpus(spark, sf_dir)
     return samples.triplet_texts(corpus, samples.triplets(corpus, triplet_goal(corpus), SEED, fk_positives=False))
 
 
@@ -182,7 +182,7 @@ def tc_triplets_samedb(spark, sf_dir):
 SELECT attempt, db, anchor, positive, negative_db, negative, CASE drawn WHEN 0 THEN 'full' ELSE 'schema' END AS view,
   CASE drawn WHEN 0 THEN anchor_text ELSE anchor_schema END AS anchor_text, positive_text, negative_text FROM v""")
 def tc_opt_triplets(spark, sf_dir):
-    corpus = order_corpus(spark, sf_dir)
+    corpus = stored_corpus(spark, sf_dir)
     ids = samples.triplets(corpus, triplet_goal(corpus), SEED, fk_positives=False, views=["full", "schema"])
     return samples.triplet_texts(corpus, ids)
 
@@ -191,7 +191,7 @@ def tc_opt_triplets(spark, sf_dir):
   SELECT *, row_number() OVER (ORDER BY left(anchor_text, 60), attempt) - 1 AS position FROM texted)
 SELECT {_TRIPLET_COLUMNS}, position, position // 16 AS batch FROM s""")
 def tc_sb_batches(spark, sf_dir):
-    corpus = order_corpus(spark, sf_dir)
+    corpus = stored_corpus(spark, sf_dir)
     ids = samples.triplets(corpus, triplet_goal(corpus), SEED, fk_positives=False)
     return samples.smart_batches(samples.triplet_texts(corpus, ids))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # What the plans in this package rely on. AQE splits hot keys of a join at run time when the
 # other side is unique per key; "force" lets it do so even if that costs one more shuffle.
@@ -48,3 +48,14 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path for one written table inside the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/tabscout-{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, stored once as Parquet in the shared folder.
+
+    Used where several joins read one derived table: it is computed once, survives lost executors,
+    and later plans know its true size.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
