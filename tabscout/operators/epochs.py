@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tabscout.operators.numbering import running
+from tabscout.session import written
 
 
 def progress(
@@ -20,7 +21,7 @@ def progress(
     marked = best.withColumn(
         "improved", F.col("best_before").isNull() | (F.col(loss) < F.col("best_before"))
     ).withColumn("_at", F.when(F.col("improved"), F.col(epoch)))
-    last = running(marked, value="_at", how="max", name="_last", **args).drop("_at")
+    last = running(written(marked, "epochs"), value="_at", how="max", name="_last", **args).drop("_at")
     return (
         last.withColumn("best_val_loss", F.least("best_before", loss))
         .withColumn("waited", (F.col(epoch) - F.col("_last")).cast("bigint")).drop("_last")
@@ -31,7 +32,7 @@ def progress(
 
 def early_stop(progressed: DataFrame, run: str = "run", epoch: str = "epoch", block_rows: int = 65536) -> DataFrame:
     """Epochs up to each run's first stop, the stopping one flagged."""
-    flagged = progressed.withColumn("_flag", F.col("stop_here").cast("int"))
+    flagged = written(progressed.withColumn("_flag", F.col("stop_here").cast("int")), "progress")
     passed = running(flagged, [run], epoch, "_flag", "max", "_passed", inclusive=False, block_rows=block_rows)
     return (
         passed.filter(F.coalesce("_passed", F.lit(0)) == 0)

@@ -2,6 +2,7 @@
 
 A plain window over a group sorts the group in one task. Here a group is cut into buckets that
 follow its order; each bucket is numbered by itself and shifted by what the earlier buckets hold.
+The input is read twice (sizes, rows): store it first where it is costly (``session.written``).
 """
 from __future__ import annotations
 

@@ -34,7 +34,7 @@ class Index(NamedTuple):
 def index(corpus: DataFrame) -> Index:
     """Databases, and the non-empty tables inside each, numbered in the order of their hash.
 
-    The numbered tables are written once: every draw looks them up several times.
+    Both are written once: every draw looks them up several times.
     """
     hashed = nonempty(corpus).select("database_name", "table_name").withColumn(
         "_h", h(F.col("database_name"), F.col("table_name"))
@@ -49,7 +49,7 @@ def index(corpus: DataFrame) -> Index:
         "database_name", "n_tables", h(F.col("database_name")).alias("_h")
     )
     databases = number_within(one_each, [], hash_bucket(F.col("_h")), ["_h", "database_name"], "db_ord").drop("_h")
-    return Index(databases, tables)
+    return Index(written(databases, "databases"), tables)
 
 
 def fk_edges(corpus: DataFrame) -> DataFrame:
@@ -157,7 +157,7 @@ def pairs(corpus: DataFrame, partners_per_table: int | None = None, seed: int =
     neg = negative_pairs(ix, seed).select(
         F.col("database_name").alias("db_a"), "table_a", F.col("other_db").alias("db_b"), "table_b", "label"
     )
-    return shuffled(pos.unionByName(neg), ["db_a", "table_a", "db_b", "table_b"], seed)
+    return shuffled(written(pos.unionByName(neg), "pairs"), ["db_a", "table_a", "db_b", "table_b"], seed)
 
 
 def shuffled(df: DataFrame, ids: list[str], seed: int = 42, name: str = "position") -> DataFrame:
@@ -235,11 +235,11 @@ def triplets(
         .filter(F.col("positive").isNotNull())
         .select(*out)
     )
-    return first_by(made, "attempt", target)
+    return first_by(written(made, "attempts"), "attempt", target)
 
 
 def first_by(df: DataFrame, position: str, n: int, bucket_rows: int = 65536) -> DataFrame:
-    """The first n rows by a unique integer position, however large n is."""
+    """The first n rows by a unique integer position, however large n is (reads df twice)."""
     numbered = number_within(df, [], F.floor(F.col(position) / bucket_rows), [position], "_nth")
     return numbered.filter(F.col("_nth") < n).drop("_nth")
 
