@@ -49,18 +49,35 @@ def hash_texts(texts: list[str | None], dim: int) -> np.ndarray:
     return sums / np.where(length > 0, length, 1.0)
 
 
+def _lists(m: np.ndarray) -> pa.Array:
+    offsets = np.arange(0, m.size + 1, m.shape[1], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(m.ravel()))
+
+
 def hash_encode(text, dim: int = 64) -> Column:
     """Hashed bag of words per text in Arrow batches: no weights, no shuffle."""
 
     @F.arrow_udf("array<double>")
     def encode(texts: pa.Array) -> pa.Array:
-        m = hash_texts(texts.to_pylist(), dim)
-        offsets = np.arange(0, m.size + 1, dim, dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(m.ravel()))
+        return _lists(hash_texts(texts.to_pylist(), dim))
 
     return encode(_c(text))
 
 
+def hash_encode_sum(texts, dim: int = 64) -> Column:
+    """Sum of the hashed vectors of an array of texts."""
+
+    @F.arrow_udf("array<double>")
+    def encode(cells: pa.Array) -> pa.Array:
+        rows = cells.to_pylist()
+        vectors = hash_texts([c for r in rows for c in r or ()], dim)
+        total = np.zeros((len(rows), dim))
+        np.add.at(total, np.repeat(np.arange(len(rows)), [len(r or ()) for r in rows]), vectors)
+        return _lists(total)
+
+    return encode(_c(texts))
+
+
 def dot(a, b) -> Column:
     return F.aggregate(
         F.zip_with(_c(a), _c(b), lambda x, y: x.cast("double") * y.cast("double")),

@@ -16,27 +16,43 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tabscout.functions.hashing import h
 
 DIGITS = 6
 SLACK = 2e-6  # covers the rounding of scores
-_CHUNK = 4_000_000  # scores held at once
+# near 1 the arc cosine magnifies a rounding of 1e-6 to about sqrt(2e-6)
+ANGLE_SLACK = 3e-3
+_CHUNK = 2_000_000  # scores held at once
+_VISITS = 50_000  # query rows sent out at once
+_ARROW = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}  # types of ids
 
 
-def _matrix(vectors) -> np.ndarray:
-    return np.array(list(vectors), dtype=np.float64)
+def _matrix(vectors: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """An Arrow list column as a matrix, without a Python object per row."""
+    if isinstance(vectors, pa.ChunkedArray):
+        vectors = vectors.combine_chunks()
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(vectors), -1)
 
 
 def _ids(values) -> np.ndarray:
-    a = np.asarray(values)
+    a = np.asarray(values.to_numpy(zero_copy_only=False) if isinstance(values, pa.Array) else values.to_numpy())
     return a.astype(str) if a.dtype == object else a
 
 
-def _select(q_ids, q, c_ids, c, k: int, exclude_self: bool) -> Iterator[tuple]:
-    """k best of one corpus block for each query: (query ids, table ids, scores) per chunk."""
+def _first_k(row, val, tie, k: int) -> np.ndarray:
+    """Positions of the k best entries of each row by (value descending, tie ascending)."""
+    o = np.lexsort((tie, -val, row))
+    return o[np.arange(len(o)) - np.searchsorted(row[o], row[o]) < k]
+
+
+def _select(q_ids, q, c_ids, c, k: int, exclude_self: bool, floor=None) -> Iterator[tuple]:
+    """k best of one corpus block for each query: (query rows, table ids, scores) per chunk.
+
+    ``floor`` is a lower limit of each query's k-th best score, if one is known.
+    """
     if not len(q_ids) or not len(c_ids):
         return
     order = np.argsort(c_ids, kind="stable")
@@ -44,30 +60,32 @@ def _select(q_ids, q, c_ids, c, k: int, exclude_self: bool) -> Iterator[tuple]:
     step = max(1, _CHUNK // len(c_ids))
     for at in range(0, len(q_ids), step):
         ids = q_ids[at:at + step]
-        s = np.round(q[at:at + step] @ c.T, DIGITS) + 0.0
+        s = q[at:at + step] @ c.T
         if exclude_self:
             own = np.minimum(np.searchsorted(c_ids, ids), len(c_ids) - 1)
             hit = np.nonzero(c_ids[own] == ids)[0]
             s[hit, own[hit]] = -np.inf
-        if len(c_ids) > k:
-            cut = np.partition(s, len(c_ids) - k, axis=1)[:, len(c_ids) - k]
+        cut = np.full(len(ids), -2.0) if floor is None else floor[at:at + step] - SLACK
+        row, col = np.nonzero(s >= cut[:, None])
+        if len(c_ids) > k and len(row) > 8 * k * len(ids):  # the limit does not help: find the k-th best
+            cut = np.maximum(cut, np.partition(s, len(c_ids) - k, axis=1)[:, len(c_ids) - k] - SLACK)
             row, col = np.nonzero(s >= cut[:, None])
-        else:
-            row, col = np.nonzero(s >= -np.inf)
-        val = s[row, col]
-        row, col, val = row[val > -np.inf], col[val > -np.inf], val[val > -np.inf]
-        o = np.lexsort((col, -val, row))
-        row, col, val = row[o], col[o], val[o]
-        keep = np.arange(len(row)) - np.searchsorted(row, row) < k
-        yield ids[row[keep]], c_ids[col[keep]], val[keep]
+        val = np.round(s[row, col], DIGITS) + 0.0
+        keep = _first_k(row, val, col, k)
+        yield at + row[keep], c_ids[col[keep]], val[keep]
 
 
-def _frame(parts) -> pd.DataFrame:
+def _join(parts) -> tuple | None:
     parts = list(parts)
-    if not parts:
-        return pd.DataFrame({"query_id": [], "table_id": [], "score": []})
-    q, t, s = (np.concatenate(x) for x in zip(*parts))
-    return pd.DataFrame({"query_id": q, "table_id": t, "score": s})
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else None
+
+
+_NAMES = ["query_id", "table_id", "score"]
+
+
+def _result(q_ids, found: tuple) -> list[pa.Array]:
+    row, ids, val = found
+    return [pa.array(q_ids[row]), pa.array(ids), pa.array(val)]
 
 
 def _schema(queries: DataFrame, corpus: DataFrame) -> str:
@@ -86,25 +104,29 @@ def rank(scored: DataFrame, k: int, keys: tuple[str, ...] = ("query_id",)) -> Da
 def scan_topk(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
     """One scan of the corpus with all queries in each task; for query sets of checked size only."""
     local = queries.select("query_id", "embedding").toArrow()
-    shipped = queries.sparkSession.sparkContext.broadcast((
-        _ids(local["query_id"].to_numpy()),
-        np.array(local["embedding"].to_pylist(), dtype=np.float64),
-    ))
+    shipped = queries.sparkSession.sparkContext.broadcast((_ids(local["query_id"]), _matrix(local["embedding"])))
 
     def scan(batches):
         q_ids, q = shipped.value
-        best = None
-        for pdf in batches:
-            new = _frame(_select(q_ids, q, _ids(pdf["table_id"]), _matrix(pdf["embedding"]), k, exclude_self))
+        best, floor = None, None
+        for batch in batches:
+            c_ids, c = _ids(batch.column("table_id")), _matrix(batch.column("embedding"))
+            new = _join(_select(q_ids, q, c_ids, c, k, exclude_self, floor))
+            if new is None:
+                continue
             if best is not None:
-                new = pd.concat([best, new], ignore_index=True)
-                new = new.sort_values(["query_id", "score", "table_id"], ascending=[True, False, True])
-                new = new[new.groupby("query_id").cumcount() < k]
-            best = new
+                new = _join([best, new])
+                keep = _first_k(new[0], new[2], new[1], k)
+                new = tuple(x[keep] for x in new)
+            best = new  # rows of a query are together and in order
+            full = np.bincount(best[0], minlength=len(q_ids)) >= k
+            floor = np.full(len(q_ids), -2.0)
+            np.minimum.at(worst := np.full(len(q_ids), np.inf), best[0], best[2])
+            floor[full] = worst[full]
         if best is not None:
-            yield best
+            yield pa.RecordBatch.from_arrays(_result(q_ids, best), _NAMES)
 
-    scored = corpus.select("table_id", "embedding").mapInPandas(scan, _schema(queries, corpus))
+    scored = corpus.select("table_id", "embedding").mapInArrow(scan, _schema(queries, corpus))
     return rank(scored, k)
 
 
@@ -117,7 +139,7 @@ def sample_pivots(corpus: DataFrame, n: int) -> np.ndarray:
         corpus.select("table_id", "embedding", key.alias("_h")).orderBy("_h", "table_id").limit(n)
         .select("embedding").collect()
     )
-    return _matrix(r[0] for r in rows)
+    return np.array([r[0] for r in rows], dtype=np.float64)
 
 
 def kmeans_pivots(corpus: DataFrame, n: int, seed: int = 42) -> np.ndarray:
@@ -141,35 +163,44 @@ def assign_cells(corpus: DataFrame, pivots: np.ndarray) -> DataFrame:
     shipped = corpus.sparkSession.sparkContext.broadcast(pivots)
 
     def assign(batches):
-        for pdf in batches:
-            s = _similar(pdf["embedding"], shipped.value)
+        for batch in batches:
+            s = _similar(batch.column("embedding"), shipped.value)
             cell = s.argmax(axis=1)
             top = s[np.arange(len(cell)), cell]
-            yield pdf.assign(cell=cell.astype("int32"), angle=np.arccos(np.clip(top - SLACK, -1, 1)))
+            angle = np.arccos(np.clip(top - SLACK, -1, 1))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(cell.astype(np.int32)), pa.array(angle)], [*batch.schema.names, "cell", "angle"]
+            )
 
     kind = corpus.schema["table_id"].dataType.simpleString()
     vec = corpus.schema["embedding"].dataType.simpleString()
-    return corpus.select("table_id", "embedding").mapInPandas(
+    return corpus.select("table_id", "embedding").mapInArrow(
         assign, f"table_id {kind}, embedding {vec}, cell int, angle double"
     )
 
 
-def _probe(queries: DataFrame, choose, extra: str | None = None) -> DataFrame:
-    """Queries with the (cell, block) pairs ``choose(pdf) -> list of arrays`` names for them."""
-    cols = ["query_id", "embedding"] + ([extra] if extra else [])
-    kind = queries.schema["query_id"].dataType.simpleString()
-    vec = queries.schema["embedding"].dataType.simpleString()
+def _probe(queries: DataFrame, n_blocks: list[int], choose) -> DataFrame:
+    """One row per query and block of the cells that ``choose`` (a queries x cells mask) names."""
+    cell = np.repeat(np.arange(len(n_blocks), dtype=np.int32), n_blocks)
+    block = np.concatenate([np.arange(n, dtype=np.int32) for n in n_blocks])
+    step = max(1, _VISITS // len(cell))
 
     def run(batches):
-        for pdf in batches:
-            out = pdf[["query_id", "embedding"]].copy()
-            out["visits"] = choose(pdf)
-            yield out
+        for whole in batches:
+            for at in range(0, len(whole), step):
+                batch = whole.slice(at, step)
+                mask = choose(batch.column("embedding"), batch.column("floor").to_numpy())
+                row, col = np.nonzero(mask[:, cell])
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.take(pa.array(row)).columns, pa.array(cell[col]), pa.array(block[col])],
+                    [*batch.schema.names, "cell", "block"],
+                )
 
-    named = queries.select(*cols).mapInPandas(
-        run, f"query_id {kind}, embedding {vec}, visits array<struct<cell:int,block:int>>"
+    kind = queries.schema["query_id"].dataType.simpleString()
+    vec = queries.schema["embedding"].dataType.simpleString()
+    return queries.select("query_id", "embedding", "floor").mapInArrow(
+        run, f"query_id {kind}, embedding {vec}, floor double, cell int, block int"
     )
-    return named.select("query_id", "embedding", F.inline("visits"))
 
 
 def _block_topk(visits: DataFrame, blocks: DataFrame, k: int, n_query_blocks: int, exclude_self: bool) -> DataFrame:
@@ -180,16 +211,23 @@ def _block_topk(visits: DataFrame, blocks: DataFrame, k: int, n_query_blocks: in
     # only query blocks that visit a corpus block receive a copy of it
     right = right.join(left.select(*keys).distinct(), keys, "left_semi")
 
-    def score(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or c.empty:
-            return _frame([])
-        return _frame(_select(
-            _ids(q["query_id"]), _matrix(q["embedding"]), _ids(c["table_id"]), _matrix(c["embedding"]), k, exclude_self
+    schema = _schema(visits, blocks)
+    empty = pa.schema([("query_id", _ARROW[schema.split()[1].rstrip(",")]), ("table_id", _ARROW[schema.split()[3].rstrip(",")]),
+                       ("score", pa.float64())]).empty_table()
+
+    def score(q: pa.Table, c: pa.Table) -> pa.Table:
+        if not len(q) or not len(c):
+            return empty
+        q_ids = _ids(q["query_id"])
+        found = _join(_select(
+            q_ids, _matrix(q["embedding"]), _ids(c["table_id"]), _matrix(c["embedding"]), k, exclude_self,
+            q["floor"].to_numpy(),
         ))
+        return pa.Table.from_arrays(_result(q_ids, found), _NAMES) if found is not None else empty
 
     return (
         left.groupBy(*keys).cogroup(right.select(*keys, "table_id", "embedding").groupBy(*keys))
-        .applyInPandas(score, _schema(visits, blocks))
+        .applyInArrow(score, schema)
     )
 
 
@@ -211,48 +249,56 @@ def _cells(corpus: DataFrame, pivots: np.ndarray, block_rows: int):
     return _cut_blocks(assigned, n_blocks), sizes, radius, n_blocks
 
 
+def cells_for(rows: int) -> int:
+    """Pivots for a corpus of that size: cells of some 16,000 rows, 16 to 1024 of them."""
+    return min(1024, max(16, rows // 16384))
+
+
 def cell_topk(
     queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool = False, pivots: np.ndarray | None = None,
-    n_pivots: int = 64, block_rows: int = 65536, query_block_rows: int = 16384, n_probe: int | None = None,
+    n_pivots: int | None = None, block_rows: int = 65536, query_block_rows: int = 16384, n_probe: int | None = None,
 ) -> DataFrame:
     """Top-k through cells; exact without ``n_probe``, else over the ``n_probe`` nearest cells."""
-    pivots = sample_pivots(corpus, n_pivots) if pivots is None else pivots
+    if pivots is None:
+        pivots = sample_pivots(corpus, n_pivots or cells_for(corpus.count()))
     blocks, sizes, radius, n_blocks = _cells(corpus, pivots, block_rows)
     n_query_blocks = max(1, -(-queries.count() // query_block_rows))
-    every = [[(c, b) for b in range(n_blocks[c])] for c in range(len(pivots))]
+    open_ended = queries.select("query_id", "embedding", F.lit(-2.0).alias("floor"))
 
     if n_probe is not None:
-        def nearest(pdf):
-            s = _similar(pdf["embedding"], pivots)
-            top = np.argsort(-s, axis=1, kind="stable")[:, :n_probe]
-            return [[v for c in row for v in every[c]] for row in top]
+        def nearest(vectors, floor):
+            s = _similar(vectors, pivots)
+            mask = np.zeros(s.shape, dtype=bool)
+            np.put_along_axis(mask, np.argsort(-s, axis=1, kind="stable")[:, :n_probe], True, axis=1)
+            return mask
 
-        return rank(_block_topk(_probe(queries, nearest), blocks, k, n_query_blocks, exclude_self), k)
+        return rank(_block_topk(_probe(open_ended, n_blocks, nearest), blocks, k, n_query_blocks, exclude_self), k)
 
     # a lower limit for each query's k-th best: the first block of its nearest cell that can fill k
     enough = np.nonzero(sizes > k)[0]
 
-    def first(pdf):
-        if not len(enough):
-            return [[] for _ in range(len(pdf))]
-        near = enough[_similar(pdf["embedding"], pivots[enough]).argmax(axis=1)]
-        return [[(int(c), 0)] for c in near]
+    def first(vectors, floor):
+        mask = np.zeros((len(vectors), len(pivots)), dtype=bool)
+        if len(enough):
+            mask[np.arange(len(mask)), enough[_similar(vectors, pivots[enough]).argmax(axis=1)]] = True
+        return mask
 
     seeds = _block_topk(
-        _probe(queries, first), blocks.filter(F.col("block") == 0), k, n_query_blocks, exclude_self
+        _probe(open_ended, [1] * len(pivots), first), blocks.filter(F.col("block") == 0), k, n_query_blocks, exclude_self
     )
     floor = seeds.groupBy("query_id").agg(
-        F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor")
-    )
+        F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("_floor")
+    )  # at most k rows per query
 
-    def reachable(pdf):
-        angle = np.arccos(np.clip(_similar(pdf["embedding"], pivots), -1, 1))
-        limit = np.cos(np.maximum(0.0, angle - radius[None, :] - SLACK)) + SLACK
-        ok = (limit >= pdf["floor"].fillna(-2.0).to_numpy()[:, None]) & (sizes > 0)[None, :]
-        return [[v for c in np.nonzero(row)[0] for v in every[c]] for row in ok]
+    def reachable(vectors, floor):
+        angle = np.arccos(np.clip(_similar(vectors, pivots), -1, 1))
+        limit = np.cos(np.maximum(0.0, angle - radius[None, :] - ANGLE_SLACK)) + SLACK
+        return (limit >= floor[:, None]) & (sizes > 0)[None, :]
 
-    bounded = queries.join(floor, "query_id", "left")
-    return rank(_block_topk(_probe(bounded, reachable, "floor"), blocks, k, n_query_blocks, exclude_self), k)
+    bounded = queries.join(floor, "query_id", "left").select(
+        "query_id", "embedding", F.coalesce("_floor", F.lit(-2.0)).alias("floor")
+    )
+    return rank(_block_topk(_probe(bounded, n_blocks, reachable), blocks, k, n_query_blocks, exclude_self), k)
 
 
 def exact_topk(

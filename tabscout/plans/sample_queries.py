@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tabscout.operators import samples
 from tabscout.plans.corpora import CORPUS_SQL, SQL_FULL, SQL_SCHEMA, order_corpus, stored_corpus
 from tabscout.plans.registry import query, sql_h, table
+from tabscout.session import spread
 
 SEED = 42
 PARTNERS = 4
@@ -219,7 +220,7 @@ def mlm_masking(spark, sf_dir):
 
 @query("mlm_masking_documents", f"WITH {mask_sql('documents', 'doc_id')} SELECT * FROM windows")
 def mlm_masking_documents(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     return samples.mask_tokens(docs, ids=("doc_id",))
 
 

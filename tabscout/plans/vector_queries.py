@@ -7,6 +7,7 @@ from tabscout.functions.vectors import normalise
 from tabscout.operators import encode, prefixes, ranking, search
 from tabscout.plans.corpora import CORPUS_SQL, DOCUMENTS_SQL, document_corpus, order_corpus
 from tabscout.plans.registry import query, sql_h, table
+from tabscout.session import spread, written
 
 DIM = 64
 MODELS = {"full": 64, "half": 32, "quarter": 16}  # leading dimensions that make up a model's vector
@@ -39,7 +40,7 @@ def _rounded(vector="embedding"):
 
 @query("hash_encode", f"WITH {sql_encode('documents', 'doc_id', 'text', 'vec')} SELECT doc_id, {_ROUNDED} FROM vec")
 def hash_encode(spark, sf_dir):
-    docs = encode.encode_hashed(table(spark, sf_dir, "documents"))
+    docs = encode.encode_hashed(spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"))
     return docs.select("doc_id", _rounded())
 
 
@@ -66,12 +67,11 @@ SELECT l_orderkey, list(x ORDER BY d) AS embedding FROM means GROUP BY 1"""
 
 @query("mean_pool", "WITH " + _CELL_SQL)
 def mean_pool(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem")
-    cells = lines.select("l_orderkey", F.explode(F.array(
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.array(
         F.concat_ws(" ", "l_returnflag", "l_linestatus"), F.col("l_partkey").cast("string"),
         F.col("l_suppkey").cast("string"), F.col("l_quantity").cast("decimal(18,2)").cast("string"),
-    )).alias("cell"))
-    return encode.mean_pool(cells, ["l_orderkey"]).select("l_orderkey", _rounded())
+    ).alias("cells"))
+    return encode.mean_pool(spread(rows, "l_orderkey"), ["l_orderkey"]).select("l_orderkey", _rounded())
 
 
 @query("embedding_size_stats", f"""WITH m(model, dim) AS (VALUES {', '.join(f"('{m}', {d})" for m, d in MODELS.items())})
@@ -155,11 +155,13 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, table_id, score FROM ranked WHERE rank <= 10""")
 def topk_text(spark, sf_dir):
     """Texts as queries over encoded documents."""
-    queries = encode.encode_hashed(table(spark, sf_dir, "conversations")).select(
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    queries = encode.encode_hashed(spread(turns, "conv_id", "turn")).select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "embedding"
     )
-    docs = encode.encode_hashed(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("table_id"), "embedding")
-    return search.exact_topk(queries, docs, 10)
+    texts = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    docs = encode.encode_hashed(texts).select(F.col("doc_id").alias("table_id"), "embedding")
+    return search.exact_topk(written(queries, "queries"), docs, 10)
 
 
 _PIVOTS, _PROBES = 16, 4
@@ -239,7 +241,8 @@ def _valid(spark, sf_dir):
 
 
 def _similar(spark, sf_dir):
-    vectors = encode.encode_hashed(document_corpus(spark, sf_dir)).select("table_id", "embedding")
+    texts = spread(document_corpus(spark, sf_dir).select("table_id", "text"), "table_id")
+    vectors = written(encode.encode_hashed(texts).select("table_id", "embedding"), "vectors")
     return search.similar_tables(vectors, _valid(spark, sf_dir), _SIMILAR)
 
 
