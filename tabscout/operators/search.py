@@ -57,20 +57,24 @@ def _select(q_ids, q, c_ids, c, k: int, exclude_self: bool, floor=None) -> Itera
         return
     order = np.argsort(c_ids, kind="stable")
     c_ids, c = c_ids[order], c[order]
-    step = max(1, _CHUNK // len(c_ids))
+    q4, c4 = q.astype(np.float32), c.T.astype(np.float32)
+    slack = np.float32(SLACK + 1e-7 * (c.shape[1] + 16))  # single precision is off by less than this
+    n, step = len(c_ids), max(1, _CHUNK // len(c_ids))
     for at in range(0, len(q_ids), step):
         ids = q_ids[at:at + step]
-        s = q[at:at + step] @ c.T
+        s = q4[at:at + step] @ c4
         if exclude_self:
-            own = np.minimum(np.searchsorted(c_ids, ids), len(c_ids) - 1)
+            own = np.minimum(np.searchsorted(c_ids, ids), n - 1)
             hit = np.nonzero(c_ids[own] == ids)[0]
             s[hit, own[hit]] = -np.inf
-        cut = np.full(len(ids), -2.0) if floor is None else floor[at:at + step] - SLACK
-        row, col = np.nonzero(s >= cut[:, None])
-        if len(c_ids) > k and len(row) > 8 * k * len(ids):  # the limit does not help: find the k-th best
-            cut = np.maximum(cut, np.partition(s, len(c_ids) - k, axis=1)[:, len(c_ids) - k] - SLACK)
-            row, col = np.nonzero(s >= cut[:, None])
-        val = np.round(s[row, col], DIGITS) + 0.0
+        cut = np.full(len(ids), -2, np.float32) if floor is None else floor[at:at + step].astype(np.float32) - slack
+        found = np.flatnonzero(s >= cut[:, None])
+        if n > k and len(found) > 8 * k * len(ids):  # the limit does not help: find the k-th best
+            cut = np.maximum(cut, np.partition(s, n - k, axis=1)[:, n - k] - 2 * slack)
+            found = np.flatnonzero(s >= cut[:, None])
+        row, col = np.divmod(found, n)
+        # what may be among the best is scored again in double precision
+        val = np.round(np.einsum("ij,ij->i", q[at + row], c[col]), DIGITS) + 0.0
         keep = _first_k(row, val, col, k)
         yield at + row[keep], c_ids[col[keep]], val[keep]
 
@@ -206,6 +210,8 @@ def _probe(queries: DataFrame, n_blocks: list[int], choose) -> DataFrame:
 def _block_topk(visits: DataFrame, blocks: DataFrame, k: int, n_query_blocks: int, exclude_self: bool) -> DataFrame:
     """Score each query against the corpus blocks it visits; both sides of a group are bounded."""
     keys = ["cell", "block", "qblock"]
+    sc = visits.sparkSession.sparkContext
+    parts = max(int(visits.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * sc.defaultParallelism)
     left = visits.withColumn("qblock", (h(F.col("query_id")) % n_query_blocks).cast("int"))
     right = blocks.withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1))))
     # only query blocks that visit a corpus block receive a copy of it
@@ -226,7 +232,8 @@ def _block_topk(visits: DataFrame, blocks: DataFrame, k: int, n_query_blocks: in
         return pa.Table.from_arrays(_result(q_ids, found), _NAMES) if found is not None else empty
 
     return (
-        left.groupBy(*keys).cogroup(right.select(*keys, "table_id", "embedding").groupBy(*keys))
+        left.repartition(parts, *keys).groupBy(*keys)
+        .cogroup(right.select(*keys, "table_id", "embedding").repartition(parts, *keys).groupBy(*keys))
         .applyInArrow(score, schema)
     )
 
@@ -257,6 +264,7 @@ def cells_for(rows: int) -> int:
 def cell_topk(
     queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool = False, pivots: np.ndarray | None = None,
     n_pivots: int | None = None, block_rows: int = 65536, query_block_rows: int = 16384, n_probe: int | None = None,
+    seed_rows: int = 4096,
 ) -> DataFrame:
     """Top-k through cells; exact without ``n_probe``, else over the ``n_probe`` nearest cells."""
     if pivots is None:
@@ -274,7 +282,9 @@ def cell_topk(
 
         return rank(_block_topk(_probe(open_ended, n_blocks, nearest), blocks, k, n_query_blocks, exclude_self), k)
 
-    # a lower limit for each query's k-th best: the first block of its nearest cell that can fill k
+    # a lower limit for each query's k-th best: a sample of the nearest cell that can fill k
+    share = F.get(F.array(*[F.lit(max(1, int(-(-n // seed_rows)))) for n in sizes]), F.col("cell"))
+    sample = blocks.filter(h(F.col("table_id"), "seed") % share == 0).withColumn("block", F.lit(0))
     enough = np.nonzero(sizes > k)[0]
 
     def first(vectors, floor):
@@ -284,7 +294,7 @@ def cell_topk(
         return mask
 
     seeds = _block_topk(
-        _probe(open_ended, [1] * len(pivots), first), blocks.filter(F.col("block") == 0), k, n_query_blocks, exclude_self
+        _probe(open_ended, [1] * len(pivots), first), sample, k, n_query_blocks, exclude_self
     )
     floor = seeds.groupBy("query_id").agg(
         F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("_floor")
