@@ -20,4 +20,4 @@ def collection_name(db: Column, table_id: Column) -> Column:
 
 def utf8(raw: Column) -> Column:
     """Bytes to text, malformed sequences replaced."""
-    return F.make_valid_utf8(F.decode(raw, "UTF-8"))
+    return F.make_valid_utf8(raw.cast("string"))

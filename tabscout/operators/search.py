@@ -105,14 +105,34 @@ def rank(scored: DataFrame, k: int, keys: tuple[str, ...] = ("query_id",)) -> Da
     )
 
 
-def scan_topk(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
-    """One scan of the corpus with all queries in each task; for query sets of checked size only."""
+def _floor(best: tuple | None, n: int, k: int) -> np.ndarray:
+    """The k-th best score of each of n queries, -2 where fewer than k are known."""
+    floor = np.full(n, -2.0)
+    if best is not None:
+        full = np.bincount(best[0], minlength=n) >= k
+        worst = np.full(n, np.inf)
+        np.minimum.at(worst, best[0], best[2])
+        floor[full] = worst[full]
+    return floor
+
+
+def scan_topk(
+    queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool = False, seed_rows: int = 2048
+) -> DataFrame:
+    """One scan of the corpus with all queries in each task; for query sets of checked size only.
+
+    Any few rows of the corpus give a lower limit of each query's k-th best score. Tasks start from
+    it, so that they put out little more than the result and not k rows per query each.
+    """
     local = queries.select("query_id", "embedding").toArrow()
-    shipped = queries.sparkSession.sparkContext.broadcast((_ids(local["query_id"]), _matrix(local["embedding"])))
+    q_ids, q = _ids(local["query_id"]), _matrix(local["embedding"])
+    some = corpus.select("table_id", "embedding").limit(seed_rows).toArrow()
+    seeds = _join(_select(q_ids, q, _ids(some["table_id"]), _matrix(some["embedding"]), k, exclude_self)) if len(some) else None
+    shipped = queries.sparkSession.sparkContext.broadcast((q_ids, q, _floor(seeds, len(q_ids), k)))
 
     def scan(batches):
-        q_ids, q = shipped.value
-        best, floor = None, None
+        q_ids, q, start = shipped.value
+        best, floor = None, start
         for batch in batches:
             c_ids, c = _ids(batch.column("table_id")), _matrix(batch.column("embedding"))
             new = _join(_select(q_ids, q, c_ids, c, k, exclude_self, floor))
@@ -122,11 +142,7 @@ def scan_topk(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool
                 new = _join([best, new])
                 keep = _first_k(new[0], new[2], new[1], k)
                 new = tuple(x[keep] for x in new)
-            best = new  # rows of a query are together and in order
-            full = np.bincount(best[0], minlength=len(q_ids)) >= k
-            floor = np.full(len(q_ids), -2.0)
-            np.minimum.at(worst := np.full(len(q_ids), np.inf), best[0], best[2])
-            floor[full] = worst[full]
+            best, floor = new, np.maximum(start, _floor(new, len(q_ids), k))
         if best is not None:
             yield pa.RecordBatch.from_arrays(_result(q_ids, best), _NAMES)
 
@@ -313,14 +329,17 @@ def cell_topk(
 
 def exact_topk(
     queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool = False,
-    broadcast_rows: int = 20_000, **cells,
+    broadcast_values: int = 2_000_000, **cells,
 ) -> DataFrame:
     """(query_id, rank, table_id, score), exact.
 
-    ``queries(query_id, embedding)``, ``corpus(table_id, embedding)``. The query set is broadcast
-    only when a bounded count shows that it has at most ``broadcast_rows`` rows.
+    ``queries(query_id, embedding)``, ``corpus(table_id, embedding)``, vectors of unit length or
+    zero. The query set is broadcast only when a bounded count shows that its vectors hold at most
+    ``broadcast_values`` numbers (16 MB).
     """
-    if queries.select("query_id").limit(broadcast_rows + 1).count() <= broadcast_rows:
+    one = queries.select(F.size("embedding")).first()
+    most = broadcast_values // max(1, one[0] if one else 1)
+    if queries.select("query_id").limit(most + 1).count() <= most:
         return scan_topk(queries, corpus, k, exclude_self)
     return cell_topk(queries, corpus, k, exclude_self, **cells)
 

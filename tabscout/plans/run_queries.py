@@ -255,13 +255,13 @@ def load_status(spark, sf_dir):
 
 
 @query("layout_profile", f"""WITH {DOCUMENTS_SQL}, mixed AS (
-  SELECT lang AS collection, CASE WHEN lang = 'de' AND doc_id % 2 = 0 THEN NULL ELSE string_split(text, chr(10)) END AS lines FROM documents)
+  SELECT lang AS collection, CASE WHEN lang = 'de' AND length(text) < 500 THEN NULL ELSE string_split(text, chr(10)) END AS lines FROM documents)
 SELECT collection, count(*) AS documents, max(len(string_split(lines[1], ' ')))::INTEGER AS widest, count(lines) AS table_documents,
   CASE WHEN bool_and(lines IS NOT NULL) THEN 'table per document' ELSE 'flat' END AS layout FROM mixed GROUP BY 1""")
 def layout_profile(spark, sf_dir):
-    """German documents carry a table only every other time, so their collection counts as flat."""
+    """Short German documents carry no table, so their collection counts as flat."""
     docs = document_corpus(spark, sf_dir)
-    bare = (F.col("lang") == "de") & (F.col("table_id").cast("bigint") % 2 == 0)
+    bare = (F.col("lang") == "de") & (F.length("text") < 500)
     mixed = docs.select(F.col("lang").alias("collection"), F.when(~bare, F.col("table")).alias("table"))
     return runs.layout_profile(mixed, "collection")
 
