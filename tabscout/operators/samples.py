@@ -334,6 +334,11 @@ def mask_tokens(
     )
 
 
+def sample(df: DataFrame, ids: list[str], n: int, seed: int = 42) -> DataFrame:
+    """n rows without replacement, as many as exist if fewer; any n."""
+    return shuffled(df, ids, seed, "_place").filter(F.col("_place") < n).drop("_place")
+
+
 def sample_per_group(df: DataFrame, keys: list[str], ids: list[str], n: int, seed: int = 42) -> DataFrame:
     """n rows of each group without replacement; the limit is applied before the shuffle."""
     drawn = df.withColumn("_h", h(seed, *[F.col(c) for c in keys + ids]))

@@ -125,6 +125,10 @@ def scan_topk(
     it, so that they put out little more than the result and not k rows per query each.
     """
     local = queries.select("query_id", "embedding").toArrow()
+    if not len(local):
+        return queries.sparkSession.createDataFrame([], _schema(queries, corpus) + ", rank int").select(
+            "query_id", "rank", "table_id", "score"
+        )
     q_ids, q = _ids(local["query_id"]), _matrix(local["embedding"])
     some = corpus.select("table_id", "embedding").limit(seed_rows).toArrow()
     seeds = _join(_select(q_ids, q, _ids(some["table_id"]), _matrix(some["embedding"]), k, exclude_self)) if len(some) else None
@@ -279,12 +283,20 @@ def cells_for(rows: int) -> int:
 
 def cell_topk(
     queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool = False, pivots: np.ndarray | None = None,
-    n_pivots: int | None = None, block_rows: int = 65536, query_block_rows: int = 16384, n_probe: int | None = None,
-    seed_rows: int = 4096,
+    n_pivots: int | None = None, block_rows: int | None = None, query_block_rows: int | None = None,
+    n_probe: int | None = None, seed_rows: int = 4096,
 ) -> DataFrame:
-    """Top-k through cells; exact without ``n_probe``, else over the ``n_probe`` nearest cells."""
+    """Top-k through cells; exact without ``n_probe``, else over the ``n_probe`` nearest cells.
+
+    A block holds some 4 million numbers of the corpus and 1 million of the queries unless its rows
+    are given, so a task's memory depends neither on the data nor on the dimension.
+    """
     if pivots is None:
         pivots = sample_pivots(corpus, n_pivots or cells_for(corpus.count()))
+    if not len(pivots):  # an empty corpus
+        return scan_topk(queries.limit(0), corpus, k)
+    block_rows = block_rows or max(1024, (1 << 22) // pivots.shape[1])
+    query_block_rows = query_block_rows or max(256, (1 << 20) // pivots.shape[1])
     blocks, sizes, radius, n_blocks = _cells(corpus, pivots, block_rows)
     n_query_blocks = max(1, -(-queries.count() // query_block_rows))
     open_ended = queries.select("query_id", "embedding", F.lit(-2.0).alias("floor"))

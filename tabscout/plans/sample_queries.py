@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tabscout.operators import samples
 from tabscout.plans.corpora import CORPUS_SQL, SQL_FULL, SQL_SCHEMA, order_corpus, stored_corpus
 from tabscout.plans.registry import query, sql_h, table
-from tabscout.session import spread
+from tabscout.session import spread, written
 
 SEED = 42
 PARTNERS = 4
@@ -247,3 +247,11 @@ def sample_rows_per_table(spark, sf_dir):
         F.date_format("l_shipdate", "yyyy-MM-dd").alias("l_ship_day"),
     )
     return samples.sample_per_group(lines, ["l_orderkey"], _LINE_IDS, 3, SEED)
+
+
+@query("sample_tables", f"""WITH {CORPUS_SQL}, n AS (SELECT count(*) // 10 AS n FROM corpus)
+SELECT database_name, table_name FROM corpus ORDER BY {sql_h(f"'{SEED}'", 'database_name', 'table_name')}, 1, 2 LIMIT (SELECT n FROM n)""")
+def sample_tables(spark, sf_dir):
+    """A tenth of the tables, drawn without replacement."""
+    ids = written(order_corpus(spark, sf_dir).select("database_name", "table_name"), "ids")
+    return samples.sample(ids, ["database_name", "table_name"], ids.count() // 10, SEED)

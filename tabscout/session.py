@@ -1,6 +1,8 @@
 """Session settings and the shared scratch folder."""
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -40,6 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
             if not sc.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
             named = tempfile.mkdtemp(prefix="tabscout-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
         sc.setCheckpointDir(named)
         current = sc.getCheckpointDir()
     return named or current
@@ -64,7 +67,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Rows over all cores before heavy per-row work, if the input comes in fewer pieces.
 
-    Large inputs have more pieces than cores and are left alone.
+    Large inputs have more pieces than cores and are left alone. Meant for scans and projections of
+    them: counting the pieces of a shuffled plan would run it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)

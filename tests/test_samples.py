@@ -143,6 +143,13 @@ def test_sample_per_group(spark):
     assert all(r["count"] == 3 for r in got) and len(got) == 4
 
 
+def test_sample(spark):
+    df = spark.range(300)
+    got = {r.id for r in samples.sample(df, ["id"], 40).collect()}
+    assert len(got) == 40 and got != set(range(40))
+    assert samples.sample(df, ["id"], 1000).count() == 300
+
+
 def test_first_databases(corpus):
     got = samples.first_databases(corpus, 2).select("database_name").distinct().collect()
     assert {r[0] for r in got} == {"d0", "d1"}

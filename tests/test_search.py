@@ -66,6 +66,13 @@ def test_k_larger_than_the_corpus(spark, skewed):
     assert rows(search.cell_topk(as_queries(df), df, 10, n_pivots=2)) == brute(skewed[:5], list(range(5)), 10, False)
 
 
+def test_empty_sides(spark, skewed):
+    df = vectors(spark, skewed[:5])
+    for make in (search.scan_topk, search.cell_topk, search.exact_topk):
+        assert make(as_queries(df).limit(0), df, 3).count() == 0
+        assert make(as_queries(df), df.limit(0), 3).count() == 0
+
+
 def test_zero_vectors(spark, skewed):
     m = skewed.copy()
     m[::7] = 0.0
