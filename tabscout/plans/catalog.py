@@ -1,6 +1,5 @@
 """Everything that is registered."""
 from tabscout.plans import (  # noqa: F401
-    file_queries, loss_queries, run_queries, sample_queries, vector_queries, view_queries,
+    file_queries, flagship, loss_queries, run_queries, sample_queries, vector_queries, view_queries,
 )
-from tabscout.plans.flagship import same_database_retrieval as flagship  # noqa: F401
 from tabscout.plans.registry import ORACLES, QUERIES  # noqa: F401
