@@ -1,10 +1,10 @@
 """Registered queries: encoding, search, similar tables and ranking quality."""
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from tabscout.functions.vectors import normalise
-from tabscout.operators import encode, prefixes, ranking, search
+from tabscout.operators import encode, prefixes, ranking, samples, search
 from tabscout.plans.corpora import CORPUS_SQL, DOCUMENTS_SQL, document_corpus, order_corpus
 from tabscout.plans.registry import query, sql_h, table
 from tabscout.session import spread, written
@@ -405,15 +405,12 @@ _FK_QRELS_SQL = f"""{CORPUS_SQL}, qrels AS (
 
 
 def fk_qrels(corpus):
-    from tabscout.operators.samples import fk_targets
-
-    return fk_targets(corpus).select(
+    return samples.fk_targets(corpus).select(
         F.col("table_name").alias("query_id"), F.col("reference_table").alias("table_id")
     ).distinct()
 
 
-# a ranking of a database's tables by value: the ten dearest orders of the customer, for each order's
-# own customer, is shared by all its orders, so it is kept per database and judged per database
+# queries are databases: their ten dearest orders, judged by the tables that others refer to
 _VALUE_SQL = f"""{_FK_QRELS_SQL},
 db_qrels AS (SELECT DISTINCT database_name AS query_id, table_id FROM qrels JOIN corpus ON table_name = qrels.table_id),
 ranked AS (
@@ -436,8 +433,6 @@ def _value_rankings(spark, sf_dir):
         F.concat(F.lit("order_"), F.col("o_orderkey").cast("string")).alias("table_id"),
         F.col("o_totalprice").alias("score"), "o_orderkey",
     )
-    from pyspark.sql import Window
-
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "o_orderkey")
     ranks = orders.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= 10).select(
         "query_id", "rank", "table_id"

@@ -1,11 +1,11 @@
 """Registered queries: table views, names and ids."""
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from tabscout.functions import hashing, names, views
 from tabscout.plans.corpora import (
-    CORPUS_SQL, DOCUMENTS_SQL, ROW_LIMIT, SQL_DOCUMENT, SQL_FULL, SQL_KEYVALUE, SQL_ROW, SQL_SCHEMA,
+    CORPUS_SQL, DOCUMENTS_SQL, ROW_LIMIT, SQL_FULL, SQL_KEYVALUE, SQL_ROW, SQL_SCHEMA,
     SQL_SIMPLE, SQL_VALUES, document_corpus, first_lines, order_corpus,
 )
 from tabscout.plans.registry import query, table
