@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabscout.llm import decontaminate, golay, katz, mixing, tokencount, wavelet
+from tabscout.llm import decontaminate, golay, katz, linecrf, mixing, randomness, tokencount, wavelet
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -43,6 +43,21 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op7_randomness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return randomness.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = linecrf.with_scores(docs, table(spark, sf_dir, "labels"), ~fold)
+    return scored.select(
+        "doc_id", fold.alias("held_out"), F.col("_score").alias("score"),
+        F.when(F.col("_score") >= linecrf.THRESHOLD, 1).otherwise(0).alias("predicted"))
+
+
 @query
 def op9_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golay.near_duplicates(table(spark, sf_dir, "documents"))
