@@ -22,6 +22,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from tabscout.llm.columns import free
 from tabscout.session import ship, written
 
 WINDOW = 10
@@ -159,4 +160,5 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without any benchmark window, all columns."""
-    return scan(docs, benchmark).where(F.size("_found.hit_words") == 0).select(*docs.columns)
+    found = free(docs, "_found")
+    return scan(docs, benchmark, found).where(F.size(f"{found}.hit_words") == 0).select(*docs.columns)

@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from tabscout.llm.columns import free
 from tabscout.session import ship, written
 
 GENERATOR = 0xC75  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
@@ -274,8 +275,9 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     Of rows that repeat this doc_id inside the component one stays.
     """
-    marked = written(with_fingerprints(docs, "_fp"), "fingerprinted")
-    reps = representatives(marked.select("doc_id", F.col("_fp").alias("fp")))
-    reps = reps.select(F.col("fp").alias("_fp"), F.col("label").alias("_label"), F.col("component_id").alias("_component"))
-    kept = marked.join(reps, "_fp").where(F.col("doc_id").eqNullSafe(F.col("_component")))
-    return kept.dropDuplicates(["_label"]).select(*docs.columns)
+    fp, label, component = (free(docs, name) for name in ("_fp", "_label", "_component"))
+    marked = written(with_fingerprints(docs, fp), "fingerprinted")
+    reps = representatives(marked.select("doc_id", F.col(fp).alias("fp")))
+    reps = reps.select(F.col("fp").alias(fp), F.col("label").alias(label), F.col("component_id").alias(component))
+    kept = marked.join(reps, fp).where(F.col("doc_id").eqNullSafe(F.col(component)))
+    return kept.dropDuplicates([label]).select(*docs.columns)

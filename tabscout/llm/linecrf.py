@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from tabscout.llm.columns import free
 from tabscout.session import ship
 
 SAMPLE = 4000
@@ -217,3 +218,9 @@ def with_scores(docs: DataFrame, labels: DataFrame, learn: Column, name: str = "
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(scores, pa.float64())], [*rows.schema.names, name])
 
     return docs.mapInArrow(add, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents whose score reaches ``threshold``, all columns; learned from all labels."""
+    score = free(docs, "_score")
+    return with_scores(docs, labels, F.lit(True), score).where(F.col(score) >= threshold).select(*docs.columns)

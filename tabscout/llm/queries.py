@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabscout.llm import decontaminate, golay, katz, linecrf, mixing, randomness, tokencount, wavelet
+from tabscout.llm import decontaminate, golay, katz, linecrf, mixing, partitions, randomness, tokencount, wavelet
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -43,6 +43,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op6_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partitions.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query
 def op7_randomness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return randomness.report(table(spark, sf_dir, "documents"))
