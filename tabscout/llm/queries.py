@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabscout.llm import decontaminate, golay, katz, linecrf, mixing, partitions, randomness, tokencount, wavelet
+from tabscout.llm import decontaminate, golay, katz, linecrf, linejoin, mixing, partitions, randomness, tokencount, wavelet
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,6 +33,11 @@ def op2_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score_documents(table(spark, sf_dir, "documents"), held_out)
 
 
+@query
+def op3_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linejoin.report(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.binary_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
