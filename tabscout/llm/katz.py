@@ -105,7 +105,11 @@ class Level:
         return np.where(counts > 0, self.kept(counts), self.freed) / self.scale
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _chunks(chunk_tokens: int):
+    return lambda batches: _chunk_rows(batches, chunk_tokens)
+
+
+def _chunk_rows(batches: Iterator[pa.RecordBatch], chunk_tokens: int) -> Iterator[pa.RecordBatch]:
     part, seq = TaskContext.get().partitionId(), 0
     number: dict[bytes, int] = {}
     tokens, lengths, ids, held = array("I"), [], [], []
@@ -135,7 +139,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lengths.append(len(words))
             ids.append(doc_id.as_py())
             held.append(is_held.as_py())
-            if len(tokens) >= CHUNK_TOKENS:
+            if len(tokens) >= chunk_tokens:
                 yield row()
                 seq += 1
                 number, tokens, lengths, ids, held = {}, array("I"), [], [], []
@@ -204,7 +208,8 @@ def _count_words(buckets: int):
 class Chunk:
     """One chunk with the answers to its words."""
 
-    def __init__(self, row: dict, replies: list[dict], word_buckets: int, start_count: int):
+    def __init__(self, row: dict, replies: list[dict], word_buckets: int, start_count: int, hot: int):
+        self.hot = hot
         keys = np.frombuffer(row["words"], np.uint64)
         self.tokens = unpack(row["tokens"]).astype(np.int64)
         self.lengths = unpack(row["lengths"])
@@ -243,7 +248,7 @@ class Chunk:
             train = np.add.reduceat(each & 1, starts).astype(np.uint32) if len(starts) else np.zeros(0, np.uint32)
         context, word = pair // (self.start + 1), pair % (self.start + 1)
         contexts = np.unique(self.context[known[self.context] & (self.counts[self.context] > 0)])
-        salts = -(-self.counts[contexts] // HOT)
+        salts = -(-self.counts[contexts] // self.hot)
         # Groups: every salt of every known context, whether or not a pair of this chunk falls in it.
         group_context = np.repeat(contexts, salts)
         group_salt = np.arange(int(salts.sum())) - np.repeat(np.cumsum(salts) - salts, salts)
@@ -268,11 +273,11 @@ class Chunk:
             yield bucket, groups, pairs, np.searchsorted(groups, pair_group[pairs])
 
 
-def _ask_pairs(word_buckets: int, buckets: int, start_count: int):
+def _ask_pairs(word_buckets: int, buckets: int, start_count: int, hot: int):
     def ask(_key, chunks, replies):
         rows = []
         for row in chunks.to_pylist():
-            chunk = Chunk(row, replies.to_pylist(), word_buckets, start_count)
+            chunk = Chunk(row, replies.to_pylist(), word_buckets, start_count, hot)
             asked = chunk.requests(buckets)
             _, word, train, group_context, _, _ = asked
             for bucket, groups, pairs, place in chunk.parts(asked):
@@ -316,12 +321,12 @@ def _count_pairs(unigrams: Level):
     return count
 
 
-def _score(word_buckets: int, pair_buckets: int, start_count: int, unigrams: Level, pairs: Level):
+def _score(word_buckets: int, pair_buckets: int, start_count: int, hot: int, unigrams: Level, pairs: Level):
     def score(_key, chunks, replies):
         tables = []
         for row in chunks.to_pylist():
             answers = replies.to_pylist()
-            chunk = Chunk(row, [r for r in answers if r["order"] == 1], word_buckets, start_count)
+            chunk = Chunk(row, [r for r in answers if r["order"] == 1], word_buckets, start_count, hot)
             asked = chunk.requests(pair_buckets, inverse=True)
             context, _, _, group_context, _, _ = asked
             count = np.zeros(len(context), np.int64)
@@ -330,11 +335,10 @@ def _score(word_buckets: int, pair_buckets: int, start_count: int, unigrams: Lev
             for bucket, groups, at, _ in chunk.parts(asked):
                 reply = by_bucket[bucket]
                 count[at] = unpack(reply["a"])
-                of = group_context[groups]
-                some = unpack(reply["b"]).reshape(CUT + 1, -1)
-                for r in range(CUT + 1):
-                    stats[r] += np.bincount(of, some[r], chunk.start + 1).astype(np.int64)
-                mass += np.bincount(of, unpack(reply["c"]), chunk.start + 1)
+                # A bucket answers for a context as a whole, however many of its salts lie there.
+                of, once = np.unique(group_context[groups], return_index=True)
+                stats[:, of] += unpack(reply["b"]).reshape(CUT + 1, -1)[:, once]
+                mass[of] += unpack(reply["c"])[once]
             freed = sum(stats[r] * r * (1 - pairs.factor[r]) for r in range(1, CUT + 1))
             none = freed <= 0
             scale = np.maximum(stats[0] + none, 1)
@@ -376,7 +380,9 @@ def _level(answers: DataFrame) -> Level:
     return Level(total, types, rest)
 
 
-def score_documents(docs: DataFrame, held_out, path: str | None = None) -> DataFrame:
+def score_documents(
+    docs: DataFrame, held_out, path: str | None = None, chunk_tokens: int = CHUNK_TOKENS, hot: int = HOT,
+) -> DataFrame:
     """SCORES of every document; ``held_out`` is a Column that is true for rows not to learn from.
 
     The model stays under ``path``: words/ and pairs/, one stored table by bucket each (kind=table).
@@ -386,7 +392,7 @@ def score_documents(docs: DataFrame, held_out, path: str | None = None) -> DataF
     rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"),
         F.coalesce(held_out, F.lit(False)).alias("held"))
-    rows.mapInArrow(_chunks, CHUNKS).write.option("compression", "zstd").parquet(f"{path}/chunks")
+    rows.mapInArrow(_chunks(chunk_tokens), CHUNKS).write.option("compression", "zstd").parquet(f"{path}/chunks")
     chunks = spark.read.schema(CHUNKS).parquet(f"{path}/chunks")
     sizes = chunks.agg(F.sum("words_n"), F.sum("tokens_n")).first()
     word_buckets = max(1, math.ceil((sizes[0] or 0) / BUCKET_KEYS))
@@ -400,10 +406,10 @@ def score_documents(docs: DataFrame, held_out, path: str | None = None) -> DataF
     to_words = words.where("kind = 'reply'").select("chunk", "bucket", "a", "b", "c", F.lit(1).alias("order"))
     pairs = _stored(
         chunks.groupBy("chunk").cogroup(to_words.groupBy("chunk"))
-        .applyInArrow(_ask_pairs(word_buckets, pair_buckets, start_count), PARCEL)
+        .applyInArrow(_ask_pairs(word_buckets, pair_buckets, start_count, hot), PARCEL)
         .groupBy("bucket").applyInArrow(_count_pairs(unigrams), ANSWER), f"{path}/pairs")
     bigrams = _level(pairs)
     to_pairs = pairs.where("kind = 'reply'").select("chunk", "bucket", "a", "b", "c", F.lit(2).alias("order"))
     return (
         chunks.groupBy("chunk").cogroup(to_words.unionByName(to_pairs).groupBy("chunk"))
-        .applyInArrow(_score(word_buckets, pair_buckets, start_count, unigrams, bigrams), SCORES))
+        .applyInArrow(_score(word_buckets, pair_buckets, start_count, hot, unigrams, bigrams), SCORES))
