@@ -33,7 +33,7 @@ def _code(token: str) -> int:
     return int(hashlib.md5(token.encode()).hexdigest()[:15], 16)
 
 
-_TOKEN = re.compile("[a-z0-9]+")
+_TOKEN = re.compile(r"[^\W_]+")  # letters and digits of any script
 
 
 def hash_texts(texts: list[str | None], dim: int) -> np.ndarray:

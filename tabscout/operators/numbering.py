@@ -13,10 +13,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tabscout.functions.hashing import HASH_BITS
 from tabscout.session import shared_dir
 
-HASH_BUCKETS = 256
+BUCKET_ROWS = 1 << 16
 
 
-def hash_bucket(hash_col: Column, buckets: int = HASH_BUCKETS) -> Column:
+def buckets_for(rows: int, bucket_rows: int = BUCKET_ROWS) -> int:
+    """A power of two, at least 16, that leaves about ``bucket_rows`` rows or fewer to a bucket."""
+    return max(16, 1 << max(0, -(-rows // bucket_rows) - 1).bit_length())
+
+
+def hash_bucket(hash_col: Column, buckets: int) -> Column:
     """The leading bits of a 60-bit hash: buckets of even size, in the order of the hash."""
     return F.shiftright(hash_col, HASH_BITS - (buckets.bit_length() - 1))
 

@@ -7,10 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
-
-from tabscout.functions.hashing import h
-from tabscout.operators.numbering import number_within
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 DIGITS = 6
 
@@ -68,12 +65,12 @@ def per_query(
         aggs.append(F.sum(F.when(F.col("rank") <= k, _gain(F.col("rank")))).alias(f"_dcg{k}"))
     for k in ks:  # at most k distinct ids are kept per query
         aggs.append(F.size(F.collect_set(F.when(F.col("rank") <= k, F.col("table_id")))).alias(f"_hits{k}"))
-    found = hits.groupBy(*q).agg(*aggs)
     if ap:
-        # the n-th hit at rank r adds n / r; hits are numbered in rank blocks
-        nth = number_within(hits.select(*q, "rank"), q, F.floor(F.col("rank") / 4096), ["rank"], "_nth")
-        precision = nth.groupBy(*q).agg(F.sum((F.col("_nth") + 1) / F.col("rank")).alias("_precision"))
-        found = found.join(precision, q)
+        # the n-th hit at rank r adds n / r; a query's hits are as many as its ranking is deep
+        nth = F.row_number().over(Window.partitionBy(*q).orderBy("rank"))
+        hits = hits.withColumn("_precision", nth / F.col("rank"))
+        aggs.append(F.sum("_precision").alias("_precision"))
+    found = hits.groupBy(*q).agg(*aggs)
     n = F.col("n_relevant")
     out = queries.join(found, q, "left")
     cols: list[Column] = [*map(F.col, q), n]
@@ -139,23 +136,17 @@ def with_architecture(report: DataFrame, model: str = "model") -> DataFrame:
     )
 
 
-def rankings_report(
-    rankings: DataFrame, queries: DataFrame, qrels: DataFrame, dataset: str, part_ids: int = 1000
-) -> DataFrame:
-    """Output rows of a ranking run, the relevant tables of a query sorted and joined by '|'.
+def rankings_report(rankings: DataFrame, queries: DataFrame, dataset: str) -> DataFrame:
+    """Output rows of a ranking run; the relevant tables are a table of their own."""
+    return rankings.join(queries.select("query_id", "query"), "query_id").select(
+        F.lit(dataset).alias("dataset"), F.col("query_id").alias("query_index"), "query", "rank",
+        F.col("table_id").alias("retrieved_table"),
+    )
 
-    Lists of more than about ``part_ids`` tables come in parts, each beside the same ranking row,
-    so that no query's list has to fit in one row.
-    """
+
+def relevance_report(queries: DataFrame, qrels: DataFrame, dataset: str) -> DataFrame:
+    """One row per query and relevant table; a query without any has one row with a null table."""
     gold = qrels.select("query_id", "table_id").distinct()
-    sizes = gold.groupBy("query_id").agg(F.ceil(F.count(F.lit(1)) / part_ids).alias("_parts"))
-    relevant = (
-        gold.join(sizes, "query_id").withColumn("part", (h(F.col("table_id"), "part") % F.col("_parts")).cast("int"))
-        .groupBy("query_id", "part")
-        .agg(F.array_join(F.array_sort(F.collect_list("table_id")), "|").alias("relevant"))
-    )
-    return rankings.join(queries.select("query_id", "query"), "query_id").join(relevant, "query_id", "left").select(
-        F.lit(dataset).alias("dataset"), F.col("query_id").alias("query_index"), "query",
-        F.coalesce("part", F.lit(0)).alias("part"), F.coalesce("relevant", F.lit("")).alias("relevant"), "rank",
-        F.col("table_id").alias("retrieved_table"),
+    return queries.select("query_id", "query").join(gold, "query_id", "left").select(
+        F.lit(dataset).alias("dataset"), F.col("query_id").alias("query_index"), "query", F.col("table_id").alias("relevant"),
     )

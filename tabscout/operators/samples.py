@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabscout.functions.hashing import h, pick, pick_other
 from tabscout.functions.views import fan_out, serialize
-from tabscout.operators.numbering import hash_bucket, number_sorted, number_within
+from tabscout.operators.numbering import buckets_for, hash_bucket, number_sorted, number_within
 from tabscout.session import written
 
 
@@ -34,21 +34,25 @@ class Index(NamedTuple):
 def index(corpus: DataFrame) -> Index:
     """Databases, and the non-empty tables inside each, numbered in the order of their hash.
 
-    Both are written once: every draw looks them up several times.
+    Ids are read from the corpus once and stored, and so are both results: every draw looks them
+    up several times.
     """
-    hashed = nonempty(corpus).select("database_name", "table_name").withColumn(
+    hashed = written(nonempty(corpus).select("database_name", "table_name").withColumn(
         "_h", h(F.col("database_name"), F.col("table_name"))
-    )
+    ), "table-ids")
+    buckets = buckets_for(hashed.count())
     tables = written(
         number_within(
-            hashed, ["database_name"], hash_bucket(F.col("_h")), ["_h", "table_name"], "tab_ord", size="n_tables"
+            hashed, ["database_name"], hash_bucket(F.col("_h"), buckets), ["_h", "table_name"], "tab_ord", size="n_tables"
         ).drop("_h"),
         "tables",
     )
     one_each = tables.filter(F.col("tab_ord") == 0).select(
         "database_name", "n_tables", h(F.col("database_name")).alias("_h")
     )
-    databases = number_within(one_each, [], hash_bucket(F.col("_h")), ["_h", "database_name"], "db_ord").drop("_h")
+    databases = number_within(
+        one_each, [], hash_bucket(F.col("_h"), buckets), ["_h", "database_name"], "db_ord"
+    ).drop("_h")
     return Index(written(databases, "databases"), tables)
 
 
@@ -75,19 +79,31 @@ def fk_lists(corpus: DataFrame) -> DataFrame:
 
 # --- pairs ------------------------------------------------------------------------------------
 
-def pair_space(corpus: DataFrame, label: float = 0.5) -> DataFrame:
+def pair_ranges(ix: Index, label: float = 0.5) -> DataFrame:
     """All unordered same-database pairs, held as one range of partner ordinals per table.
 
     A database of n tables has n(n-1)/2 pairs; this states every one of them in n rows.
     """
     last = F.col("n_tables") - 1
-    return index(corpus).tables.select(
+    return ix.tables.select(
         "database_name", "table_name", "tab_ord",
         (F.col("tab_ord") + 1).alias("first_partner"), last.alias("last_partner"),
         (last - F.col("tab_ord")).alias("n_pairs"), F.lit(label).alias("label"),
     )
 
 
+def pair_space(corpus: DataFrame, label: float = 0.5) -> DataFrame:
+    return pair_ranges(index(corpus), label)
+
+
+def pairs_of(ix: Index, anchors: DataFrame, label: float = 0.5) -> DataFrame:
+    """Every same-database pair of the chosen anchors(database_name, table_name), listed."""
+    left = anchors.select("database_name", F.col("table_name").alias("table_a"))
+    right = ix.tables.select("database_name", F.col("table_name").alias("table_b"))
+    return left.join(right, "database_name").where("table_a <> table_b").select(
+        "database_name", "table_a", "table_b", F.lit(label).alias("label"))
+
+
 def positive_pairs(
     ix: Index, partners_per_table: int | None = None, seed: int = 42, label: float = 0.5
 ) -> DataFrame:
@@ -148,22 +164,38 @@ def negative_pairs(ix: Index, seed: int = 42, negatives_per_db: int = 1, label:
     )
 
 
-def pairs(corpus: DataFrame, partners_per_table: int | None = None, seed: int = 42) -> DataFrame:
-    """Positives and negatives (db_a, table_a, db_b, table_b, label) with their shuffled position."""
+def pairs(corpus: DataFrame, seed: int = 42) -> DataFrame:
+    """All training pairs: positives as ranges of partners, negatives one by one.
+
+    (db_a, table_a, db_b, table_b, first_partner, last_partner, n_pairs, label): a row with a
+    table_b is that pair, any other row is the pairs with the tables of the stated ordinals.
+    """
     ix = index(corpus)
-    pos = positive_pairs(ix, partners_per_table, seed).select(
-        F.col("database_name").alias("db_a"), "table_a", F.col("database_name").alias("db_b"), "table_b", "label"
-    )
+    db, none = F.col("database_name"), F.lit(None)
+    pos = pair_ranges(ix).where("n_pairs > 0").select(
+        db.alias("db_a"), F.col("table_name").alias("table_a"), db.alias("db_b"), none.cast("string").alias("table_b"),
+        "first_partner", "last_partner", "n_pairs", "label")
     neg = negative_pairs(ix, seed).select(
-        F.col("database_name").alias("db_a"), "table_a", F.col("other_db").alias("db_b"), "table_b", "label"
-    )
-    return shuffled(written(pos.unionByName(neg), "pairs"), ["db_a", "table_a", "db_b", "table_b"], seed)
+        db.alias("db_a"), "table_a", F.col("other_db").alias("db_b"), "table_b", none.cast("bigint").alias("first_partner"),
+        none.cast("bigint").alias("last_partner"), F.lit(1).cast("bigint").alias("n_pairs"), "label")
+    return pos.unionByName(neg)
+
+
+def pair_texts(corpus: DataFrame, listed: DataFrame, view: str = "row") -> DataFrame:
+    """text_a and text_b beside listed pairs (db_a, table_a, db_b, table_b, ...)."""
+    texts = fan_out(nonempty(corpus), [view])
+    return with_texts(listed, texts, {
+        "text_a": ("db_a", "table_a", F.lit(view)), "text_b": ("db_b", "table_b", F.lit(view)),
+    })
 
 
 def shuffled(df: DataFrame, ids: list[str], seed: int = 42, name: str = "position") -> DataFrame:
-    """Position of each row in a seeded shuffle. Rows are found by hash range, so no task sorts all."""
+    """Position of each row in a seeded shuffle. Rows are found by hash range, so no task sorts all.
+
+    Reads ``df`` three times (its size, the size of the ranges, the rows): store it first.
+    """
     hashed = df.withColumn("_h", h(seed, *[F.col(c) for c in ids]))
-    return number_within(hashed, [], hash_bucket(F.col("_h")), ["_h", *ids], name).drop("_h")
+    return number_within(hashed, [], hash_bucket(F.col("_h"), buckets_for(df.count())), ["_h", *ids], name).drop("_h")
 
 
 def split(df: DataFrame, position: str = "position", train: float = 0.9, at_least_one: bool = False) -> DataFrame:

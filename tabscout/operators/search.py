@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tabscout.functions.hashing import h
+from tabscout.session import written
 
 DIGITS = 6
 SLACK = 2e-6  # covers the rounding of scores
 # near 1 the arc cosine magnifies a rounding of 1e-6 to about sqrt(2e-6)
 ANGLE_SLACK = 3e-3
 _CHUNK = 2_000_000  # scores held at once
-_VISITS = 50_000  # query rows sent out at once
 _ARROW = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}  # types of ids
 
 
@@ -203,41 +203,36 @@ def assign_cells(corpus: DataFrame, pivots: np.ndarray) -> DataFrame:
     )
 
 
-def _probe(queries: DataFrame, n_blocks: list[int], choose) -> DataFrame:
-    """One row per query and block of the cells that ``choose`` (a queries x cells mask) names."""
-    cell = np.repeat(np.arange(len(n_blocks), dtype=np.int32), n_blocks)
-    block = np.concatenate([np.arange(n, dtype=np.int32) for n in n_blocks])
-    step = max(1, _VISITS // len(cell))
+def _probe(queries: DataFrame, choose) -> DataFrame:
+    """(query_id, cell) for the cells that ``choose`` (a queries x cells mask) names; ids only."""
 
     def run(batches):
-        for whole in batches:
-            for at in range(0, len(whole), step):
-                batch = whole.slice(at, step)
-                mask = choose(batch.column("embedding"), batch.column("floor").to_numpy())
-                row, col = np.nonzero(mask[:, cell])
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.take(pa.array(row)).columns, pa.array(cell[col]), pa.array(block[col])],
-                    [*batch.schema.names, "cell", "block"],
-                )
+        for batch in batches:
+            row, col = np.nonzero(choose(batch.column("embedding"), batch.column("floor").to_numpy()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("query_id").take(pa.array(row)), pa.array(col.astype(np.int32))], ["query_id", "cell"]
+            )
 
     kind = queries.schema["query_id"].dataType.simpleString()
-    vec = queries.schema["embedding"].dataType.simpleString()
-    return queries.select("query_id", "embedding", "floor").mapInArrow(
-        run, f"query_id {kind}, embedding {vec}, floor double, cell int, block int"
-    )
+    return queries.select("query_id", "embedding", "floor").mapInArrow(run, f"query_id {kind}, cell int")
 
 
-def _block_topk(visits: DataFrame, blocks: DataFrame, k: int, n_query_blocks: int, exclude_self: bool) -> DataFrame:
-    """Score each query against the corpus blocks it visits; both sides of a group are bounded."""
+def _block_topk(
+    visits: DataFrame, queries: DataFrame, blocks: DataFrame, n_blocks: list[int], k: int, n_query_blocks: int,
+    exclude_self: bool,
+) -> DataFrame:
+    """Score each query against the corpus blocks of the cells it visits; both sides of a group are
+    bounded. Visits are stored as ids; a corpus block is copied to the query blocks that visit its
+    cell and to no others."""
     keys = ["cell", "block", "qblock"]
-    sc = visits.sparkSession.sparkContext
-    parts = max(int(visits.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * sc.defaultParallelism)
-    left = visits.withColumn("qblock", (h(F.col("query_id")) % n_query_blocks).cast("int"))
-    right = blocks.withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1))))
-    # only query blocks that visit a corpus block receive a copy of it
-    right = right.join(left.select(*keys).distinct(), keys, "left_semi")
-
-    schema = _schema(visits, blocks)
+    spark = visits.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    visits = written(visits.withColumn("qblock", (h(F.col("query_id")) % n_query_blocks).cast("int")), "visits")
+    per_cell = F.get(F.array(*map(F.lit, n_blocks)), F.col("cell"))
+    left = visits.join(queries, "query_id").withColumn("block", F.explode(F.sequence(F.lit(0), per_cell - 1)))
+    right = blocks.join(visits.select("cell", F.col("qblock").alias("qblock")).distinct(), "cell")
+
+    schema = _schema(queries, blocks)
     empty = pa.schema([("query_id", _ARROW[schema.split()[1].rstrip(",")]), ("table_id", _ARROW[schema.split()[3].rstrip(",")]),
                        ("score", pa.float64())]).empty_table()
 
@@ -252,7 +247,7 @@ def _block_topk(visits: DataFrame, blocks: DataFrame, k: int, n_query_blocks: in
         return pa.Table.from_arrays(_result(q_ids, found), _NAMES) if found is not None else empty
 
     return (
-        left.repartition(parts, *keys).groupBy(*keys)
+        left.select(*keys, "query_id", "embedding", "floor").repartition(parts, *keys).groupBy(*keys)
         .cogroup(right.select(*keys, "table_id", "embedding").repartition(parts, *keys).groupBy(*keys))
         .applyInArrow(score, schema)
     )
@@ -265,7 +260,7 @@ def _cut_blocks(assigned: DataFrame, n_blocks: list[int]) -> DataFrame:
 
 def _cells(corpus: DataFrame, pivots: np.ndarray, block_rows: int):
     """Blocks of the corpus and, per cell, its size, radius and number of blocks."""
-    assigned = assign_cells(corpus, pivots)
+    assigned = written(assign_cells(corpus, pivots), "cells")
     found = {
         r["cell"]: r for r in
         assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius")).collect()
@@ -308,7 +303,7 @@ def cell_topk(
             np.put_along_axis(mask, np.argsort(-s, axis=1, kind="stable")[:, :n_probe], True, axis=1)
             return mask
 
-        return rank(_block_topk(_probe(open_ended, n_blocks, nearest), blocks, k, n_query_blocks, exclude_self), k)
+        return rank(_block_topk(_probe(open_ended, nearest), open_ended, blocks, n_blocks, k, n_query_blocks, exclude_self), k)
 
     # a lower limit for each query's k-th best: a sample of the nearest cell that can fill k
     share = F.get(F.array(*[F.lit(max(1, int(-(-n // seed_rows)))) for n in sizes]), F.col("cell"))
@@ -322,7 +317,7 @@ def cell_topk(
         return mask
 
     seeds = _block_topk(
-        _probe(open_ended, [1] * len(pivots), first), sample, k, n_query_blocks, exclude_self
+        _probe(open_ended, first), open_ended, sample, [1] * len(pivots), k, n_query_blocks, exclude_self
     )
     floor = seeds.groupBy("query_id").agg(
         F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("_floor")
@@ -336,7 +331,18 @@ def cell_topk(
     bounded = queries.join(floor, "query_id", "left").select(
         "query_id", "embedding", F.coalesce("_floor", F.lit(-2.0)).alias("floor")
     )
-    return rank(_block_topk(_probe(bounded, n_blocks, reachable), blocks, k, n_query_blocks, exclude_self), k)
+    bounded = written(bounded, "floors")
+    return rank(_block_topk(_probe(bounded, reachable), bounded, blocks, n_blocks, k, n_query_blocks, exclude_self), k)
+
+
+def _whole(queries: DataFrame, corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides without null vectors, vectors with a null, and lengths other than the commonest."""
+    filled = F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull())
+    corpus, queries = corpus.where(filled), queries.where(filled)
+    sizes = corpus.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
+    if not sizes:
+        return queries, corpus
+    return queries.where(F.size("embedding") == sizes[0].n), corpus.where(F.size("embedding") == sizes[0].n)
 
 
 def exact_topk(
@@ -345,10 +351,11 @@ def exact_topk(
 ) -> DataFrame:
     """(query_id, rank, table_id, score), exact.
 
-    ``queries(query_id, embedding)``, ``corpus(table_id, embedding)``, vectors of unit length or
-    zero. The query set is broadcast only when a bounded count shows that its vectors hold at most
+    ``queries(query_id, embedding)``, ``corpus(table_id, embedding)``, ids unique, vectors of unit
+    length or zero; rows without a whole vector take no part. The query set is broadcast only when a bounded count shows that its vectors hold at most
     ``broadcast_values`` numbers (16 MB).
     """
+    queries, corpus = _whole(queries, corpus)
     one = queries.select(F.size("embedding")).first()
     most = broadcast_values // max(1, one[0] if one else 1)
     if queries.select("query_id").limit(most + 1).count() <= most:
@@ -357,10 +364,12 @@ def exact_topk(
 
 
 def approx_topk(
-    queries: DataFrame, corpus: DataFrame, k: int, n_probe: int = 4, n_pivots: int = 16,
+    queries: DataFrame, corpus: DataFrame, k: int, n_probe: int = 4, n_pivots: int | None = None,
     exclude_self: bool = False, centres: str = "sample", **cells,
 ) -> DataFrame:
     """Top-k among the tables of the ``n_probe`` cells nearest to the query, scores exact."""
+    queries, corpus = _whole(queries, corpus)
+    n_pivots = n_pivots or max(16, int(corpus.count() ** 0.5))
     make = {"sample": sample_pivots, "kmeans": kmeans_pivots}[centres]
     return cell_topk(queries, corpus, k, exclude_self, pivots=make(corpus, n_pivots), n_probe=n_probe, **cells)
 

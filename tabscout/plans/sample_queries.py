@@ -4,12 +4,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabscout.operators import samples
-from tabscout.plans.corpora import CORPUS_SQL, SQL_FULL, SQL_SCHEMA, order_corpus, stored_corpus
+from tabscout.plans.corpora import CORPUS_SQL, SQL_FULL, SQL_ROW, SQL_SCHEMA, order_corpus, stored_corpus
 from tabscout.plans.registry import query, sql_h, table
 from tabscout.session import spread, written
 
 SEED = 42
-PARTNERS = 4
 
 # CTEs over "corpus": filled (with texts), dbs and tabs with their ordinals
 INDEX_SQL = CORPUS_SQL + f""",
@@ -25,15 +24,11 @@ tabs AS (
   FROM filled f JOIN dbs USING (database_name))
 """
 
-POSITIVE_SQL = f"""
-ring AS (
-  SELECT a.database_name, a.table_name AS table_a, a.tab_ord, a.n_tables,
-         1 + ({sql_h(f"'{SEED}'", 'a.database_name', "'step'")} % (a.n_tables // 2) + t.t) % (a.n_tables // 2) AS step
-  FROM tabs a, range({PARTNERS}) t(t) WHERE a.n_tables >= 2 AND t.t < a.n_tables // 2),
+# every unordered pair of tables of one database
+POSITIVE_SQL = """
 positives AS (
-  SELECT r.database_name, table_a, b.table_name AS table_b, 0.5::DOUBLE AS label
-  FROM ring r JOIN tabs b ON b.database_name = r.database_name AND b.tab_ord = (r.tab_ord + step) % r.n_tables
-  WHERE step * 2 < r.n_tables OR r.tab_ord * 2 < r.n_tables)
+  SELECT a.database_name, a.table_name AS table_a, b.table_name AS table_b, 0.5::DOUBLE AS label
+  FROM tabs a JOIN tabs b ON a.database_name = b.database_name AND a.tab_ord < b.tab_ord)
 """
 
 _OTHER = "({x} + CASE WHEN {x} >= {own} THEN 1 ELSE 0 END)"
@@ -56,14 +51,10 @@ negatives AS (
    AND b.tab_ord = {sql_h(f"'{SEED}'", 'd.database_name', '0', "'negative'")} % o.n_tables)
 """
 
-PAIRS_SQL = f"""
+PAIRS_SQL = """
 all_pairs AS (
   SELECT database_name AS db_a, table_a, database_name AS db_b, table_b, label FROM positives
-  UNION ALL SELECT database_name, table_a, other_db, table_b, label FROM negatives),
-shuffled AS (
-  SELECT *, row_number() OVER (ORDER BY {sql_h(f"'{SEED}'", 'db_a', 'table_a', 'db_b', 'table_b')},
-                               db_a, table_a, db_b, table_b) - 1 AS position
-  FROM all_pairs)
+  UNION ALL SELECT database_name, table_a, other_db, table_b, label FROM negatives)
 """
 
 
@@ -131,9 +122,13 @@ def pc_pair_space(spark, sf_dir):
     return samples.pair_space(order_corpus(spark, sf_dir))
 
 
-@query("pc_positive_pairs", f"WITH {INDEX_SQL}, {POSITIVE_SQL} SELECT * FROM positives")
+@query("pc_positive_pairs", f"""WITH {INDEX_SQL}, {POSITIVE_SQL}
+SELECT p.database_name, table_a, table_b, label FROM positives p
+JOIN tabs t ON t.database_name = p.database_name AND t.table_name = table_a AND t.tab_ord = 0""")
 def pc_positive_pairs(spark, sf_dir):
-    return samples.positive_pairs(samples.index(order_corpus(spark, sf_dir)), PARTNERS, SEED)
+    """All pairs of one anchor per database, the first table in hash order."""
+    ix = samples.index(order_corpus(spark, sf_dir))
+    return samples.pairs_of(ix, ix.tables.where("tab_ord = 0"))
 
 
 @query("pc_negative_pairs", f"WITH {INDEX_SQL}, {NEGATIVE_SQL} SELECT * FROM negatives")
@@ -141,16 +136,47 @@ def pc_negative_pairs(spark, sf_dir):
     return samples.negative_pairs(samples.index(order_corpus(spark, sf_dir)), SEED)
 
 
-@query("pc_pairs", f"WITH {INDEX_SQL}, {POSITIVE_SQL}, {NEGATIVE_SQL}, {PAIRS_SQL} SELECT * FROM shuffled")
+@query("pc_pairs", f"""WITH {INDEX_SQL}, {NEGATIVE_SQL}
+SELECT database_name AS db_a, table_name AS table_a, database_name AS db_b, NULL::VARCHAR AS table_b, tab_ord + 1 AS first_partner,
+  n_tables - 1 AS last_partner, n_tables - 1 - tab_ord AS n_pairs, 0.5::DOUBLE AS label FROM tabs WHERE tab_ord < n_tables - 1
+UNION ALL SELECT database_name, table_a, other_db, table_b, NULL, NULL, 1, label FROM negatives""")
 def pc_pairs(spark, sf_dir):
-    return samples.pairs(order_corpus(spark, sf_dir), PARTNERS, SEED)
+    return samples.pairs(order_corpus(spark, sf_dir), SEED)
 
 
-@query("train_val_split", f"""WITH {INDEX_SQL}, {POSITIVE_SQL}, {NEGATIVE_SQL}, {PAIRS_SQL}
-SELECT db_a, table_a, db_b, table_b, label, position,
-  CASE WHEN position < floor(0.9 * (SELECT count(*) FROM shuffled)) THEN 'train' ELSE 'val' END AS split FROM shuffled""")
+@query("pc_pair_texts", f"""WITH {INDEX_SQL}, {NEGATIVE_SQL}, v AS (SELECT *, {SQL_ROW} AS row_text FROM filled)
+SELECT n.database_name AS db_a, table_a, other_db AS db_b, table_b, label, a.row_text AS text_a, b.row_text AS text_b
+FROM negatives n JOIN v a ON a.database_name = n.database_name AND a.table_name = table_a
+JOIN v b ON b.database_name = other_db AND b.table_name = table_b""")
+def pc_pair_texts(spark, sf_dir):
+    corpus = stored_corpus(spark, sf_dir)
+    listed = samples.negative_pairs(samples.index(corpus), SEED).withColumnsRenamed({"database_name": "db_a", "other_db": "db_b"})
+    return samples.pair_texts(corpus, listed)
+
+
+_SPLIT_SQL = """SELECT {ids}, position, CASE WHEN position < {cut} THEN 'train' ELSE 'val' END AS split FROM shuffled"""
+
+
+@query("train_val_split", f"""WITH {INDEX_SQL}, shuffled AS (
+  SELECT database_name, table_name, row_number() OVER (ORDER BY {sql_h(f"'{SEED}'", 'database_name', 'table_name')}, database_name, table_name) - 1 AS position
+  FROM filled)
+{_SPLIT_SQL.format(ids='database_name, table_name', cut='floor(0.9 * (SELECT count(*) FROM shuffled))')}""")
 def train_val_split(spark, sf_dir):
-    return samples.split(samples.pairs(order_corpus(spark, sf_dir), PARTNERS, SEED))
+    """Self-pairs, by the table both sides show."""
+    ids = written(samples.self_pairs(order_corpus(spark, sf_dir)).select("database_name", "table_name"), "self-pairs")
+    return samples.split(samples.shuffled(ids, ["database_name", "table_name"], SEED))
+
+
+@query("train_val_split_triplets", f"""WITH {INDEX_SQL}, {triplet_sql(True)}, shuffled AS (
+  SELECT attempt, db, anchor, positive, negative_db, negative,
+    row_number() OVER (ORDER BY {sql_h(f"'{SEED}'", 'attempt')}, attempt) - 1 AS position FROM triples)
+{_SPLIT_SQL.format(ids='attempt, db, anchor, positive, negative_db, negative',
+                   cut='(SELECT count(*) - greatest(1, floor(0.1 * count(*))) FROM shuffled)')}""")
+def train_val_split_triplets(spark, sf_dir):
+    """Triplets; at least one goes to the validation part."""
+    corpus = stored_corpus(spark, sf_dir)
+    drawn = written(samples.triplets(corpus, triplet_goal(corpus), SEED), "triplets")
+    return samples.split(samples.shuffled(drawn, ["attempt"], SEED), at_least_one=True)
 
 
 @query("ssc_pairs", f"WITH {INDEX_SQL} SELECT database_name, table_name, full_text AS text_a, full_text AS text_b FROM filled")

@@ -46,7 +46,9 @@ def build_samples(corpus: DataFrame, strategy: str, **options) -> dict[str, Data
     s = STRATEGIES[strategy]
     target = options.get("target_triplets", s.target_triplets)
     if s.name == "PC":
-        return {"pairs": samples.pairs(corpus, options.get("partners_per_table"), s.seed)}
+        listed = options.get("listed")  # pairs whose texts are wanted; all of them would be quadratic
+        made = {"pairs": samples.pairs(corpus, s.seed)}
+        return made if listed is None else {**made, "texts": samples.pair_texts(corpus, listed, s.views[0])}
     if s.name == "SS-C":
         return {"pairs": samples.self_pairs(corpus, s.views[0])}
     texts = {"texts": samples.plain_texts(corpus, "full")}

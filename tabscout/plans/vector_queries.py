@@ -18,7 +18,7 @@ def sql_encode(source: str, ids: str, text: str, out: str, dim: int = DIM) -> st
     """CTE chain: hashed unit vectors of ``source`` rows as ``out``(ids, embedding)."""
     p = out
     return f"""
-{p}_tok AS (SELECT {ids}, unnest(list_filter(string_split_regex(lower({text}), '[^a-z0-9]+'), lambda t: t <> '')) AS t FROM {source}),
+{p}_tok AS (SELECT {ids}, unnest(list_filter(string_split_regex(lower({text}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')) AS t FROM {source}),
 {p}_code AS (SELECT {ids}, {sql_h('t')} % {2 * dim} AS c FROM {p}_tok),
 {p}_sum AS (SELECT {ids}, c % {dim} AS d, sum(CASE WHEN c >= {dim} THEN -1.0 ELSE 1.0 END)::DOUBLE AS s FROM {p}_code GROUP BY ALL),
 {p}_map AS (SELECT {ids}, map(list(d), list(s)) AS m, sqrt(sum(s * s)) AS n FROM {p}_sum GROUP BY ALL),
@@ -341,7 +341,9 @@ metrics AS (
   FROM per_query)
 """
 
-_OUT = {"ap": "map", "rr": "mrr", "rr_10": "mrr_10"}
+# averages over the whole ranking carry the depth to which the rankings go
+_OUT = {"ap": f"map_{DEPTH}", "rr": f"mrr_{DEPTH}", "rr_10": "mrr_10"}
+_DEPTH_NAMES = {"map": f"map_{DEPTH}", "mrr": f"mrr_{DEPTH}"}
 
 
 def _metric_sql(metrics, extra: str = "") -> str:
@@ -361,11 +363,11 @@ def _register_metric(name: str, metrics: list[str], depth: int = DEPTH) -> None:
     @query(name, _metric_sql(metrics))
     def run(spark, sf_dir):
         judged, queries = _judged(spark, sf_dir, depth)
-        return ranking.evaluate(judged, queries, metrics, keys=["model"])
+        return ranking.evaluate(judged, queries, metrics, keys=["model"]).withColumnsRenamed(_DEPTH_NAMES)
 
 
-_register_metric("metric_map", ["ap"])
-_register_metric("metric_mrr", ["rr"])
+_register_metric("metric_map_60", ["ap"])
+_register_metric("metric_mrr_60", ["rr"])
 _register_metric("metric_mrr_at_10", ["rr_10"], 10)
 _register_metric("metric_ndcg", ["ndcg_5", "ndcg_10", "ndcg_20", "ndcg_60"])
 _register_metric("metric_prf_at_5", ["precision_5", "recall_5", "f1_5"], 5)
@@ -382,14 +384,14 @@ _REPORT_NAMES = {"full": "qwen-full", "half": "bge-half", "quarter": "bert-quart
 
 @query("report_architecture", f"""WITH {_JUDGED_SQL}, r AS (
   SELECT CASE model {' '.join(f"WHEN '{m}' THEN '{n}'" for m, n in _REPORT_NAMES.items())} END AS model,
-    round(avg(recall_5), 6) AS recall_5, round(avg(recall_10), 6) AS recall_10, round(avg(rr), 6) AS mrr, round(avg(ndcg_10), 6) AS ndcg_10
+    round(avg(recall_5), 6) AS recall_5, round(avg(recall_10), 6) AS recall_10, round(avg(rr), 6) AS mrr_{DEPTH}, round(avg(ndcg_10), 6) AS ndcg_10
   FROM metrics GROUP BY 1)
 SELECT *, CASE WHEN model LIKE '%bge%' THEN 'Hybrid' WHEN model LIKE '%qwen%' THEN 'Decoder-Only' ELSE 'Bidirectional' END AS architecture,
   CASE WHEN model LIKE '%bge%' THEN '335M' WHEN model LIKE '%qwen%' THEN '7B' ELSE '110M' END AS parameters,
   CASE WHEN model LIKE '%bge%' THEN 2 WHEN model LIKE '%qwen%' THEN 1 ELSE 3 END AS place FROM r""")
 def report_architecture(spark, sf_dir):
     judged, queries = _judged(spark, sf_dir)
-    report = ranking.evaluate(judged, queries, ["recall_5", "recall_10", "rr", "ndcg_10"], keys=["model"])
+    report = ranking.evaluate(judged, queries, ["recall_5", "recall_10", "rr", "ndcg_10"], keys=["model"]).withColumnsRenamed(_DEPTH_NAMES)
     named = report.withColumn(
         "model", F.coalesce(*[F.when(F.col("model") == m, n) for m, n in _REPORT_NAMES.items()])
     )
@@ -421,7 +423,7 @@ gold AS (SELECT query_id, count(*) AS n, string_agg(table_id, '|' ORDER BY table
 """
 
 
-def _value_rankings(spark, sf_dir):
+def _value_rankings(spark, sf_dir, depth: int | None = 10):
     """Queries are databases, their relevant tables those that others refer to; ranked by order value."""
     corpus = order_corpus(spark, sf_dir)
     qrels = (
@@ -434,20 +436,57 @@ def _value_rankings(spark, sf_dir):
         F.col("o_totalprice").alias("score"), "o_orderkey",
     )
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "o_orderkey")
-    ranks = orders.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= 10).select(
-        "query_id", "rank", "table_id"
-    )
+    ranks = orders.withColumn("rank", F.row_number().over(w)).select("query_id", "rank", "table_id")
+    if depth is not None:
+        ranks = ranks.filter(F.col("rank") <= depth)
     queries = orders.select("query_id").distinct()
     return ranks, queries, qrels
 
 
 @query("rankings_report", f"""WITH {_VALUE_SQL}
-SELECT 'orders' AS dataset, r.query_id AS query_index, 'orders of ' || r.query_id AS query, 0 AS part, coalesce(relevant, '') AS relevant,
-  rank, table_id AS retrieved_table FROM ranked r LEFT JOIN gold USING (query_id)""")
+SELECT 'orders' AS dataset, query_id AS query_index, 'orders of ' || query_id AS query, rank, table_id AS retrieved_table FROM ranked""")
 def rankings_report(spark, sf_dir):
-    ranks, queries, qrels = _value_rankings(spark, sf_dir)
-    named = queries.withColumn("query", F.concat(F.lit("orders of "), "query_id"))
-    return ranking.rankings_report(ranks, named, qrels, "orders")
+    ranks, queries, _ = _value_rankings(spark, sf_dir)
+    return ranking.rankings_report(ranks, _named(queries), "orders")
+
+
+@query("relevance_report", f"""WITH {_VALUE_SQL}
+SELECT 'orders' AS dataset, query_id AS query_index, 'orders of ' || query_id AS query, table_id AS relevant
+FROM (SELECT DISTINCT query_id FROM ranked) LEFT JOIN db_qrels USING (query_id)""")
+def relevance_report(spark, sf_dir):
+    _, queries, qrels = _value_rankings(spark, sf_dir)
+    return ranking.relevance_report(_named(queries), qrels, "orders")
+
+
+def _named(queries):
+    return queries.withColumn("query", F.concat(F.lit("orders of "), "query_id"))
+
+
+_COMPLETE_SQL = f"""WITH {_VALUE_SQL.replace(' QUALIFY rank <= 10', '')},
+j AS (SELECT r.*, q.table_id IS NOT NULL AS hit FROM ranked r LEFT JOIN db_qrels q USING (query_id, table_id)),
+p AS (
+  SELECT query_id, coalesce(any_value(n), 0) AS n, sum(CASE WHEN hit THEN so_far / rank ELSE 0 END) AS ap_sum,
+    min(CASE WHEN hit THEN rank END) AS first_hit
+  FROM (SELECT *, sum(hit::INT) OVER (PARTITION BY query_id ORDER BY rank) AS so_far FROM j) LEFT JOIN gold USING (query_id) GROUP BY 1)
+"""
+
+
+def _complete(spark, sf_dir, metric: str):
+    """An average over complete rankings: all orders of a customer, however many."""
+    ranks, queries, qrels = _value_rankings(spark, sf_dir, depth=None)
+    judged = ranking.judge(ranks, qrels).withColumn("dataset", F.lit("orders"))
+    counted = ranking.relevant_counts(queries, qrels).withColumn("dataset", F.lit("orders"))
+    return ranking.evaluate(judged, counted, [metric], keys=["dataset"])
+
+
+@query("metric_map", _COMPLETE_SQL + "SELECT 'orders' AS dataset, round(coalesce(avg(CASE WHEN n > 0 THEN ap_sum / n END), 0), 6) AS map FROM p")
+def metric_map(spark, sf_dir):
+    return _complete(spark, sf_dir, "ap")
+
+
+@query("metric_mrr", _COMPLETE_SQL + "SELECT 'orders' AS dataset, round(avg(coalesce(1.0 / first_hit, 0)), 6) AS mrr FROM p")
+def metric_mrr(spark, sf_dir):
+    return _complete(spark, sf_dir, "rr")
 
 
 @query("evaluation_summary", f"""WITH {_VALUE_SQL},

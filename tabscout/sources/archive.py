@@ -64,30 +64,29 @@ def _wanted(name: str, globs, but) -> bool:
     return any(fnmatch.fnmatch(name, g) for g in globs) and not any(fnmatch.fnmatch(name, g) for g in but)
 
 
-def read_archives(
-    spark: SparkSession, root: str, members: list[str], exclude: list[str] = (), glob: str = "*.tar*"
-) -> DataFrame:
-    """(archive, member_no, member, idx, record): records of the members matching a pattern.
+COLUMNS = ["archive", "member_no", "member", "idx", "record", "error"]
 
-    JSON and JSONL entries, Parquet rows and CSV rows all come as JSON text; a member that cannot
-    be parsed is skipped from the point where it breaks.
-    """
+
+def _scan(spark: SparkSession, root: str, members: list[str], exclude: list[str], glob: str) -> DataFrame:
+    """COLUMNS: records of the members matching a pattern, and where a member or archive breaks off."""
     members, exclude = list(members), list(exclude)
 
     def records(path: str) -> Iterator[tuple]:
-        with open_stream(path) as raw, tarfile.open(fileobj=raw, mode="r|*") as tar:
-            number = 0
-            for info in tar:
-                if not info.isfile() or not _wanted(info.name, members, exclude):
-                    continue
-                try:
-                    for i, record in enumerate(_member_records(info.name, io.BufferedReader(_Member(tar.extractfile(info))))):
-                        yield path, number, info.name, i, record
-                except ValueError:
-                    pass
-                number += 1
-
-    columns = ["archive", "member_no", "member", "idx", "record"]
+        number, name = 0, None
+        try:
+            with open_stream(path) as raw, tarfile.open(fileobj=raw, mode="r|*") as tar:
+                for info in tar:
+                    if not info.isfile() or not _wanted(info.name, members, exclude):
+                        continue
+                    name, i = info.name, -1
+                    try:
+                        for i, record in enumerate(_member_records(name, io.BufferedReader(_Member(tar.extractfile(info))))):
+                            yield path, number, name, i, record, None
+                    except ValueError as broken:  # not what the name says; the members after it are read
+                        yield path, number, name, i + 1, None, f"{type(broken).__name__}: {broken}"
+                    number += 1
+        except (OSError, EOFError, tarfile.TarError) as broken:  # the rest of the archive is lost
+            yield path, number, None, -1, None, f"{type(broken).__name__}: {broken}"
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -96,16 +95,34 @@ def read_archives(
                 for r in records(path):
                     batch.append(r)
                     if len(batch) == BATCH_ROWS:
-                        yield pd.DataFrame(batch, columns=columns)
+                        yield pd.DataFrame(batch, columns=COLUMNS)
                         batch = []
                 if batch:
-                    yield pd.DataFrame(batch, columns=columns)
+                    yield pd.DataFrame(batch, columns=COLUMNS)
 
     return list_files(spark, root, glob).mapInPandas(
-        read, "archive string, member_no int, member string, idx bigint, record string"
+        read, "archive string, member_no int, member string, idx bigint, record string, error string"
     )
 
 
+def read_archives(
+    spark: SparkSession, root: str, members: list[str], exclude: list[str] = (), glob: str = "*.tar*"
+) -> DataFrame:
+    """(archive, member_no, member, idx, record): records of the members matching a pattern.
+
+    JSON and JSONL entries, Parquet rows and CSV rows all come as JSON text; a member that cannot
+    be parsed is left where it breaks. ``archive_errors`` tells which.
+    """
+    return _scan(spark, root, members, exclude, glob).where("error is null").drop("error")
+
+
+def archive_errors(
+    spark: SparkSession, root: str, members: list[str], exclude: list[str] = (), glob: str = "*.tar*"
+) -> DataFrame:
+    """(archive, member_no, member, idx, error): where members or whole archives cannot be read on."""
+    return _scan(spark, root, members, exclude, glob).where("error is not null").drop("record")
+
+
 # member patterns by dataset format (fixed values)
 TABLES_JSON = ["*tables.json", "*.jsonl"]
 FORMATS = {

@@ -1,6 +1,7 @@
 """Corpora kept as one folder per database: a JSON catalogue and one CSV file per table."""
 from __future__ import annotations
 
+import csv
 import json
 from collections.abc import Iterator
 
@@ -43,8 +44,9 @@ def rejected(spark: SparkSession, root: str) -> DataFrame:
     return catalogues(spark, root).filter(F.col("c._bad").isNotNull()).select("folder")
 
 
-def _head(path: str, row_limit: int) -> tuple[list[str], list[list[str]]]:
-    header, rows = [], []
+def _head(path: str, row_limit: int) -> tuple[list[str], list[list[str]], str | None]:
+    """(header, first rows, what broke off the reading); rows read before an error are kept."""
+    header, rows, error = [], [], None
     try:
         with open_stream(path) as stream:
             for record in csv_records(stream):
@@ -54,24 +56,45 @@ def _head(path: str, row_limit: int) -> tuple[list[str], list[list[str]]]:
                     rows.append(record)
                 if len(rows) >= row_limit:
                     break
-    except Exception:  # keep what was read
-        pass
-    return header, rows
+    except (OSError, ValueError, csv.Error) as broken:
+        error = f"{type(broken).__name__}: {broken}"
+    return header, rows, error
 
 
 def csv_heads(spark: SparkSession, root: str, row_limit: int = 3) -> DataFrame:
-    """(database_name, file, header, rows): first rows of each CSV; reading stops at the limit."""
+    """(database_name, file, header, rows, error): first rows of each CSV; reading stops at the limit."""
     tables = list_files(spark, root, "*.csv").filter(F.col("path").rlike("/tables/[^/]+$"))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             heads = [_head(p, row_limit) for p in pdf["path"]]
-            yield pd.DataFrame({"path": pdf["path"], "header": [h for h, _ in heads], "rows": [r for _, r in heads]})
+            yield pd.DataFrame({"path": pdf["path"], "header": [h for h, _, _ in heads], "rows": [r for _, r, _ in heads],
+                                "error": [e for _, _, e in heads]})
 
-    schema = "path string, header array<string>, rows array<array<string>>"
+    schema = "path string, header array<string>, rows array<array<string>>, error string"
     return tables.mapInPandas(read, schema).select(
         F.regexp_extract("path", r"([^/]+)/tables/[^/]+$", 1).alias("database_name"),
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "header", "rows",
+        F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "header", "rows", "error",
+    )
+
+
+def unreadable(spark: SparkSession, root: str) -> DataFrame:
+    """(database_name, file, error) of CSV files that cannot be read to their end."""
+    tables = list_files(spark, root, "*.csv").filter(F.col("path").rlike("/tables/[^/]+$"))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path in pdf["path"]:
+                try:
+                    with open_stream(path) as stream:
+                        for _ in csv_records(stream):
+                            pass
+                except (OSError, ValueError, csv.Error) as broken:
+                    yield pd.DataFrame({"path": [path], "error": [f"{type(broken).__name__}: {broken}"]})
+
+    return tables.mapInPandas(read, "path string, error string").select(
+        F.regexp_extract("path", r"([^/]+)/tables/[^/]+$", 1).alias("database_name"),
+        F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "error",
     )
 
 
@@ -114,7 +137,7 @@ def read_folders(spark: SparkSession, root: str, row_limit: int = 3) -> DataFram
     meta = catalogues(spark, root).filter(F.col("c._bad").isNull()).select(
         F.col("folder").alias("database_name"), F.explode("c.TABLES").alias("table_name", "t")
     ).withColumn("file", F.coalesce("t.FILEPATH", F.lit("")))
-    joined = meta.join(csv_heads(spark, root, row_limit), ["database_name", "file"], "left")
+    joined = meta.join(csv_heads(spark, root, row_limit).drop("error"), ["database_name", "file"], "left")
     columns = F.coalesce("t.COLUMNS", F.array().cast("array<string>"))
     aligned = F.transform(
         F.coalesce("rows", F.array().cast("array<array<string>>")),
@@ -198,7 +221,6 @@ def _write_grouped(df: DataFrame, keys: list[str], order: list[str], path_of, op
 
 
 def _csv_line(cells) -> str:
-    import csv
     import io
 
     out = io.StringIO()

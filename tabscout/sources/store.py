@@ -1,6 +1,7 @@
 """Vector collections as Parquet, partitioned by dataset and model."""
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabscout.schemas import VECTOR_SCHEMA
@@ -34,13 +35,24 @@ def new_points(points: DataFrame, stored: DataFrame) -> DataFrame:
     return points.dropDuplicates([*PARTS, "point_id"]).join(ids, [*PARTS, "point_id"], "left_anti")
 
 
-def append_new(points: DataFrame, path: str) -> None:
-    """Idempotent append: ids already stored are skipped (only id columns are scanned)."""
-    spark = points.sparkSession
+def stored_for(points: DataFrame, path: str) -> DataFrame:
+    """Stored rows of the collections that ``points`` names; none if nothing is stored yet."""
     try:
-        stored = spark.read.parquet(path)
-    except Exception as missing:  # first batch: there is no collection yet
-        if "PATH_NOT_FOUND" not in str(missing):
+        stored = points.sparkSession.read.parquet(path)
+    except AnalysisException as missing:  # first batch: there is no collection yet
+        if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-        stored = points.limit(0)
-    new_points(points, stored).write.mode("append").partitionBy(*PARTS).parquet(path)
+        return points.limit(0)
+    named = points.select(*PARTS).distinct().collect()  # a row per collection, which are folders
+    wanted = F.lit(False)
+    for row in named:
+        wanted = wanted | ((F.col(PARTS[0]) == row[0]) & (F.col(PARTS[1]) == row[1]))
+    return stored.where(wanted)
+
+
+def append_new(points: DataFrame, path: str) -> None:
+    """Idempotent append: ids already stored are skipped.
+
+    Only id columns of the collections named in the batch are scanned.
+    """
+    new_points(points, stored_for(points, path)).write.mode("append").partitionBy(*PARTS).parquet(path)

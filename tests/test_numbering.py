@@ -23,7 +23,7 @@ def test_number_within_hot_group(spark):
 
 def test_number_all_rows(spark):
     df = spark.range(2000).withColumn("x", h(F.col("id")))
-    got = number_within(df, [], hash_bucket(F.col("x")), ["x"], "ord").orderBy("x").toPandas()
+    got = number_within(df, [], hash_bucket(F.col("x"), 256), ["x"], "ord").orderBy("x").toPandas()
     assert list(got["ord"]) == list(range(2000))
 
 

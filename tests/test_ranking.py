@@ -86,11 +86,12 @@ def test_architecture(spark):
                    "e5-base": ("Decoder-Only", "7B"), "mpnet": ("Bidirectional", "110M")}
 
 
-def test_report_splits_long_lists(spark):
+def test_reports(spark):
     ranks = spark.createDataFrame([("q", 1, "t1")], "query_id string, rank int, table_id string")
     queries = spark.createDataFrame([("q", "text")], "query_id string, query string")
-    qrels = spark.createDataFrame([("q", f"t{i:03d}") for i in range(100)], "query_id string, table_id string")
-    whole = ranking.rankings_report(ranks, queries, qrels, "d").collect()
-    assert len(whole) == 1 and whole[0].relevant == "|".join(f"t{i:03d}" for i in range(100))
-    parts = ranking.rankings_report(ranks, queries, qrels, "d", part_ids=10).collect()
-    assert sorted(t for r in parts for t in r.relevant.split("|")) == [f"t{i:03d}" for i in range(100)]
+    qrels = spark.createDataFrame([("q", f"t{i:04d}") for i in range(2500)], "query_id string, table_id string")
+    rows = ranking.rankings_report(ranks, queries, "d").collect()
+    assert [tuple(r) for r in rows] == [("d", "q", "text", 1, "t1")]
+    relevant = ranking.relevance_report(queries, qrels.union(qrels), "d").collect()
+    assert sorted(r.relevant for r in relevant) == [f"t{i:04d}" for i in range(2500)]
+    assert [r.relevant for r in ranking.relevance_report(queries, qrels.limit(0), "d").collect()] == [None]

@@ -61,13 +61,53 @@ def test_one_negative_per_database(corpus):
         assert r.table_a in names[r.database_name] and r.table_b in names[r.other_db]
 
 
+def test_pairs_state_all(corpus):
+    got = samples.pairs(corpus).collect()
+    names = names_of(corpus)
+    ranges = [r for r in got if r.table_b is None]
+    assert sum(r.n_pairs for r in ranges) == sum(len(t) * (len(t) - 1) // 2 for t in names.values())
+    assert all(r.last_partner - r.first_partner + 1 == r.n_pairs for r in ranges)
+    assert len(got) - len(ranges) == len(names)
+
+
+def test_pairs_of_anchors(corpus):
+    ix = samples.index(corpus)
+    got = samples.pairs_of(ix, ix.tables.where("tab_ord = 0")).collect()
+    assert len(got) == sum(len(t) - 1 for t in names_of(corpus).values())
+    texts = samples.pair_texts(corpus, samples.negative_pairs(ix).withColumnsRenamed({"database_name": "db_a", "other_db": "db_b"}))
+    assert all(r.text_a == f"[TABLE]{r.table_a} [ROWS][ROW] a:1" for r in texts.collect())
+
+
+def test_counted_cosines(spark, monkeypatch):
+    import numpy as np
+
+    from tabscout.operators import losses
+
+    rng = np.random.default_rng(1)
+    rows = [("hot", f"t{i}", rng.normal(size=4).tolist()) for i in range(50)] + [("hot", "zero", [0.0] * 4), ("one", "x", [1.0] * 4)]
+    rows += [(f"d{i % 5}", f"u{i}", rng.normal(size=4).tolist()) for i in range(17)]
+    want = {}
+    for i, (d, _, v) in enumerate(rows):
+        for e, _, w in rows[:i]:
+            if d == e:
+                n = np.linalg.norm(v) * np.linalg.norm(w)
+                c = round(float(np.dot(v, w) / n if n else 0.0), 6) + 0.0
+                want[c] = want.get(c, 0) + 1
+    vectors = spark.createDataFrame(rows, "database_name string, table_name string, embedding array<double>")
+    for size in (2048, 7):
+        monkeypatch.setattr(losses, "BLOCK_TABLES", size)
+        got = {r.cosine: r.w for r in losses.same_database_cosines(vectors).collect()}
+        assert sum(got.values()) == sum(want.values())
+        assert sorted(got) == pytest.approx(sorted(want), abs=2e-6)
+
+
 def test_split_sizes(corpus):
-    pairs = written(samples.pairs(corpus, 2), "pairs")
-    n = pairs.count()
-    got = {r.split: r["count"] for r in samples.split(pairs).groupBy("split").count().collect()}
+    ids = written(samples.self_pairs(corpus).select("database_name", "table_name"), "ids")
+    placed = written(samples.shuffled(ids, ids.columns), "placed")
+    n = placed.count()
+    got = {r.split: r["count"] for r in samples.split(placed).groupBy("split").count().collect()}
     assert got == {"train": int(0.9 * n), "val": n - int(0.9 * n)}
-    small = pairs.limit(5).select("db_a", "table_a", "db_b", "table_b")
-    few = samples.shuffled(written(small, "few"), small.columns)
+    few = samples.shuffled(written(ids.limit(5), "few"), ids.columns)
     got = samples.split(few, at_least_one=True).filter("split = 'val'").count()
     assert got == 1
 
@@ -157,7 +197,7 @@ def test_first_databases(corpus):
 
 @pytest.mark.parametrize("name", list(STRATEGIES))
 def test_every_strategy_builds(corpus, name):
-    for df in build_samples(corpus, name, target_triplets=20, partners_per_table=2).values():
+    for df in build_samples(corpus, name, target_triplets=20).values():
         assert df.count() > 0
 
 
@@ -172,7 +212,7 @@ def plan(df):
 
 def test_plans_have_no_cross_join(spark):
     corpus = written(order_corpus(spark, SF), "corpus")
-    for df in (samples.triplets(corpus, 100), samples.pairs(corpus, 2)):
+    for df in (samples.triplets(corpus, 100), samples.pairs(corpus)):
         assert "CartesianProduct" not in plan(df) and "NestedLoop" not in plan(df)
 
 
