@@ -89,6 +89,17 @@ def sniffed_view(table_id, column_names, header, rows, row_data, fields, row_lim
     return F.concat(F.lit("[TABLE]"), _c(table_id), F.lit(" [SCHEMA]"), schema, F.lit(" [ROWS]"), values)
 
 
+def long_documents(docs: DataFrame) -> DataFrame:
+    """(table_name, line, cells map) with few lines per table -> (table_name, columns, rows)."""
+    as_row = F.struct(
+        "line", F.map_keys("cells").alias("columns"), F.map_values("cells").alias("cells")
+    )
+    return docs.groupBy("table_name").agg(F.array_sort(F.collect_list(as_row)).alias("d")).select(
+        "table_name", F.col("d")[0]["columns"].alias("columns"),
+        F.transform("d", lambda r: r["cells"]).alias("rows"),
+    )
+
+
 VIEWS: dict[str, Callable[[], Column]] = {
     "schema": schema_view,
     "row": row_view,

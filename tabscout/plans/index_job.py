@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabscout.functions import views
 from tabscout.functions.hashing import point_id
@@ -43,6 +43,53 @@ def points(
     return last_by_id(made, "_order") if order else made
 
 
+def layout_of(documents: DataFrame) -> str:
+    """How a collection holds its tables: "table" (one document with all rows), "long" (one document
+    per row) or "sniffed" (one document whose fields have to be looked for)."""
+    if "table" in documents.columns:
+        return "table"
+    return "long" if {"table_name", "line", "cells"} <= set(documents.columns) else "sniffed"
+
+
+def _encoded(texts: DataFrame, dataset: str, model: str, encoder) -> DataFrame:
+    """VECTOR_SCHEMA rows of texts(database_name, table_name, schema, num_rows, text)."""
+    return texts.select(
+        point_id(F.col("database_name"), F.col("table_name")).alias("point_id"), F.lit(dataset).alias("dataset"),
+        F.lit(model).alias("model"), F.col("database_name").alias("db_name"), "table_name", "schema",
+        F.col("num_rows").cast("bigint").alias("num_rows"), F.col("database_name").alias("source_collection"),
+        encoder(F.col("text")).cast("array<float>").alias("embedding"),
+    )
+
+
+def long_points(documents: DataFrame, database: str, dataset: str, model: str, encoder=hash_encode) -> DataFrame:
+    """Points of documents(table_name, line, cells), one per row of a table; the text shows the first rows."""
+    place = F.row_number().over(Window.partitionBy("table_name").orderBy("line"))
+    first = documents.withColumn("_n", place).where(F.col("_n") <= ROW_LIMIT).drop("_n")
+    sizes = documents.groupBy("table_name").agg(F.count(F.lit(1)).alias("num_rows"))
+    shown = views.long_documents(first).join(sizes, "table_name")
+    return _encoded(shown.select(
+        F.lit(database).alias("database_name"), "table_name", F.col("columns").alias("schema"), "num_rows",
+        views.document_view("table_name", "columns", "rows").alias("text")), dataset, model, encoder)
+
+
+def sniffed_points(documents: DataFrame, dataset: str, model: str, encoder=hash_encode) -> DataFrame:
+    """Points of documents(database_name, table_name, column_names, header, rows, row_data, fields)."""
+    text = views.sniffed_view("table_name", "column_names", "header", "rows", "row_data", "fields", ROW_LIMIT)
+    names = F.transform("column_names", lambda p: F.get(p, F.size(p) - 1))
+    return _encoded(documents.select(
+        "database_name", "table_name", F.coalesce(names, F.col("header"), F.map_keys("fields")).alias("schema"),
+        F.size(F.coalesce("rows", "row_data", F.array().cast("array<array<string>>"))).alias("num_rows"),
+        text.alias("text")), dataset, model, encoder)
+
+
+def any_points(documents: DataFrame, database: str, dataset: str, model: str, encoder=hash_encode) -> DataFrame:
+    """Points of a collection in whatever layout it is."""
+    layout = layout_of(documents)
+    if layout == "long":
+        return long_points(documents, database, dataset, model, encoder)
+    return (points if layout == "table" else sniffed_points)(documents, dataset, model, encoder)
+
+
 def run_record(documents: DataFrame, stored: DataFrame) -> DataFrame:
     """Counts and sizes of a finished index: one row per dataset and model."""
     tables = documents.agg(F.count_if(~valid()).alias("skipped_tables")).scalar()

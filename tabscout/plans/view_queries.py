@@ -61,27 +61,19 @@ def view_combined_doc(spark, sf_dir):
 SELECT table_name, '[TABLE]' || table_name || ' [SCHEMA]' || header || ' [ROWS]' || body AS text FROM long""")
 def view_combined_long(spark, sf_dir):
     """One document per row: the schema is the first document's keys, the rows the first documents."""
-    docs = first_lines(spark, sf_dir).select(
+    return views.long_documents(line_documents(first_lines(spark, sf_dir))).select(
+        "table_name", views.document_view("table_name", "columns", "rows").alias("text")
+    )
+
+
+def line_documents(lines):
+    return lines.select(
         F.concat(F.lit("order_"), F.col("l_orderkey").cast("string")).alias("table_name"), "line",
         F.create_map(*[
             x for c in ("l_returnflag", "l_linestatus", "l_partkey")
             for x in (F.lit(c), F.col(c).cast("string"))
         ]).alias("cells"),
     )
-    return long_documents(docs).select(
-        "table_name", views.document_view("table_name", "columns", "rows").alias("text")
-    )
-
-
-def long_documents(docs):
-    """(table_name, line, cells map) with few lines per table -> (table_name, columns, rows)."""
-    as_row = F.struct(
-        "line", F.map_keys("cells").alias("columns"), F.map_values("cells").alias("cells")
-    )
-    return docs.groupBy("table_name").agg(F.array_sort(F.collect_list(as_row)).alias("d")).select(
-        "table_name", F.col("d")[0]["columns"].alias("columns"),
-        F.transform("d", lambda r: r["cells"]).alias("rows"),
-    )
 
 
 @query("view_combined_sniffed", f"""WITH {CORPUS_SQL}, t AS (
@@ -95,6 +87,13 @@ SELECT database_name, table_name,
   || ' [ROWS]' || CASE WHEN body = '' THEN own ELSE body END AS text
 FROM u""")
 def view_combined_sniffed(spark, sf_dir):
+    return sniffed_documents(spark, sf_dir).select(
+        *_ID,
+        views.sniffed_view("table_name", "column_names", "header", "rows", "row_data", "fields").alias("text"),
+    )
+
+
+def sniffed_documents(spark, sf_dir):
     """Three layouts in one collection: name pairs + rows, header + row_data, bare document."""
     corpus = order_corpus(spark, sf_dir)
     layout = F.col("columns")[F.size("columns") - 1]
@@ -103,7 +102,7 @@ def view_combined_sniffed(spark, sf_dir):
         F.array(*[F.lit(x) for x in ("table_id", "database", "num_rows", "file")]),
         F.array("table_name", "database_name", F.col("num_rows_total").cast("string"), "filepath"),
     )
-    docs = corpus.select(
+    return corpus.select(
         *_ID,
         F.when(layout == "l_returnflag", pairs).alias("column_names"),
         F.when(layout == "l_linestatus", F.col("columns")).alias("header"),
@@ -111,10 +110,6 @@ def view_combined_sniffed(spark, sf_dir):
         F.when(layout == "l_linestatus", F.col("rows")).alias("row_data"),
         fields.alias("fields"),
     )
-    return docs.select(
-        *_ID,
-        views.sniffed_view("table_name", "column_names", "header", "rows", "row_data", "fields").alias("text"),
-    )
 
 
 @query("point_ids", f"""WITH {CORPUS_SQL}

@@ -21,6 +21,7 @@ READERS: dict[str, Reader] = {
     "folders": lambda spark, path, db: folders.read_folders(spark, path),
     "folder_rows": lambda spark, path, db: folders.csv_rows(spark, path),
     "tables_json": _tables_json,
+    "jsonl_tables": lambda spark, path, db: tables.normalise_tables(jsonl_records(spark, path), db),
     "schema_json": lambda spark, path, db: tables.schema_documents(tables.read_schema_json(spark, path)),
     "corpus_parquet": lambda spark, path, db: tables.read_corpus_splits(spark, path),
     "validation_parquet": lambda spark, path, db: tables.read_validation(spark, path),
