@@ -6,11 +6,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabscout.llm import decontaminate, golay, katz, linecrf, linejoin, mixing, partitions, randomness, tokencount, wavelet
+from tabscout.llm import decontaminate, golay, katz, linecrf, linejoin, mixing, oracles, partitions, randomness, tokencount, wavelet
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_mixing": oracles.MIXING,
+    "op3_line_join": oracles.LINE_JOIN,
+    "op5_decontamination": oracles.DECONTAMINATION,
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
