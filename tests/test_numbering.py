@@ -4,7 +4,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tabscout.functions.hashing import h
-from tabscout.operators.numbering import hash_bucket, number_sorted, number_within, running
+from tabscout.operators.numbering import buckets_for, hash_bucket, number_sorted, number_within, running
 
 
 def hot_rows(n=3000):
@@ -44,3 +44,14 @@ def test_running_blocks(spark):
     before = running(df, ["g"], "pos", "v", "min", "r", inclusive=False, block_rows=7).toPandas().sort_values(["g", "pos"])
     want = before.groupby("g")["v"].cummin().groupby(before["g"]).shift()
     assert (before["r"].fillna(-1) == want.fillna(-1)).all()
+
+
+def test_buckets_follow_the_rows():
+    assert buckets_for(0) == 16 and buckets_for(1 << 20) == 16
+    assert buckets_for((1 << 26) + 1) == 2048 and buckets_for(10**12) >= 10**12 / (1 << 16)
+
+
+def test_more_buckets_than_rows_need(spark):
+    df = spark.range(500).withColumn("x", h(F.col("id")))
+    got = number_within(df, [], hash_bucket(F.col("x"), 4096), ["x"], "ord").orderBy("x").toPandas()
+    assert list(got["ord"]) == list(range(500))

@@ -147,3 +147,32 @@ def test_mean_pool(spark):
     got = {r.t: r.embedding for r in encode.mean_pool(df, ["t"], dim=8).collect()}
     one = {r.text: np.array(r.v) for r in spark.createDataFrame([("foo",), ("bar",)], "text string").select("text", hash_encode("text", 8).alias("v")).collect()}
     assert np.allclose(got["t"], (2 * one["foo"] + one["bar"]) / 3)
+
+
+def test_rows_without_a_whole_vector_take_no_part(spark):
+    bad = [(100, None), (101, [1.0]), (102, [None, 1.0])]
+    good = [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.6, 0.8])]
+    df = spark.createDataFrame(good + bad, "table_id long, embedding array<double>")
+    for options in ({}, {"broadcast_values": 0}):
+        got = search.exact_topk(as_queries(df), df, 2, exclude_self=True, **options).collect()
+        assert sorted((r.query_id, r["rank"], r.table_id) for r in got) == [(0, 1, 2), (0, 2, 1), (1, 1, 2), (1, 2, 0), (2, 1, 1), (2, 2, 0)]
+
+
+def test_blocks_are_copied_by_a_join(spark):
+    """No corpus row is exploded to query blocks that do not visit its cell."""
+    rng = np.random.default_rng(5)
+    df = vectors(spark, unit(rng.normal(size=(200, 4))))
+    found = search.cell_topk(as_queries(df), df, 3, n_pivots=4, query_block_rows=16)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    right = plan[plan.index("FlatMapCoGroupsInArrow"):].split("RepartitionByExpression")[2]
+    assert "Generate" not in right and "Join" in right
+
+
+def test_texts_in_any_script(spark):
+    texts = ["größe und weite", "Поиск таблиц", "表 検索 二", "جدول بحث", "under_score 12"]
+    df = spark.createDataFrame(enumerate(texts), "table_id long, text string")
+    got = {r.table_id: np.array(r.embedding) for r in df.select("table_id", hash_encode("text").alias("embedding")).collect()}
+    assert all(np.linalg.norm(v) == pytest.approx(1) for v in got.values())
+    same = spark.createDataFrame([(0, "GRÖSSE, GRÖẞE größe"), (1, "größe")], "table_id long, text string")
+    a, b = [np.array(r.e) for r in same.select(hash_encode("text").alias("e")).collect()]
+    assert a @ b > 0.3

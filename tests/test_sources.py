@@ -256,3 +256,30 @@ def test_archive_writer_bounds_members(spark, tmp_path):
     file_fixtures.write_archives(df, str(tmp_path), 2, member_records=7)
     got = archive.read_archive_format(spark, str(tmp_path), "tables_json")
     assert got.count() == 50 and got.groupBy("archive", "member").count().agg(F.max("count")).first()[0] <= 7
+
+
+def test_what_cannot_be_read_is_told(spark, tmp_path):
+    tar(tmp_path / "a.tar.gz", [("d/broken_tables.json", "{oops"), ("d/tables.json", '[{"table_id": "x"}]')])
+    put(tmp_path / "cut.tar.gz", (tmp_path / "a.tar.gz").read_bytes()[:60])
+    root = str(tmp_path)
+    errors = {(r.archive.rsplit("/", 1)[1], r.member): r.error for r in archive.archive_errors(spark, root, ["*.json"]).collect()}
+    assert set(errors) == {("a.tar.gz", "d/broken_tables.json"), ("cut.tar.gz", None)} and all(errors.values())
+    assert [r.member for r in archive.read_archives(spark, root, ["*.json"]).collect()] == ["d/tables.json"]
+    put(tmp_path / "db/tables/long.csv", "a\n" + "x" * 200_000 + "\n")  # over the limit of one CSV field
+    put(tmp_path / "db/tables/fine.csv", "a\n1\n")
+    assert [(r.database_name, r.file) for r in folders.unreadable(spark, root).collect()] == [("db", "long.csv")]
+    heads = {r.file: (r.header, r.error is None) for r in folders.csv_heads(spark, root).collect()}
+    assert heads == {"long.csv": (["a"], False), "fine.csv": (["a"], True)}
+
+
+def test_only_named_collections_are_read(spark, tmp_path):
+    path = str(tmp_path / "vectors")
+    columns = "point_id string, dataset string, model string, num_rows long"
+    first = spark.createDataFrame([("p", "d1", "m", 1), ("p", "d2", "m", 1)], columns)
+    store.append_new(first, path)
+    batch = spark.createDataFrame([("p", "d1", "m", 2), ("q", "d1", "m", 2)], columns)
+    plan = store.stored_for(batch, path)._jdf.queryExecution().executedPlan().toString()
+    assert "d1" in plan[plan.index("PartitionFilters"):] and "d2" not in plan
+    store.append_new(batch, path)
+    got = spark.read.parquet(path).select("dataset", "point_id", "num_rows").collect()
+    assert sorted(map(tuple, got)) == [("d1", "p", 1), ("d1", "q", 2), ("d2", "p", 1)]
