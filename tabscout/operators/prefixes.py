@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tabscout.session import written
+
 
 def prefix_join(names: DataFrame, databases: DataFrame, name: str = "name", db: str = "db") -> DataFrame:
     """Every database whose name starts the table name (all of them, also prefixes of prefixes).
@@ -16,7 +18,8 @@ def prefix_join(names: DataFrame, databases: DataFrame, name: str = "name", db:
         .withColumn("_len", F.explode(F.filter("_lens", lambda n: n <= F.length(name))))
         .withColumn(db, F.left(name, F.col("_len"))).drop("_lens", "_len")
     )
-    return tried.join(databases.select(db).distinct(), db)
+    # stored, so that both sides of the join are plain shuffles and a hot prefix can be split
+    return tried.join(written(databases.select(db).distinct(), "prefixes"), db)
 
 
 def longest_prefix(names: DataFrame, databases: DataFrame, name: str = "name", db: str = "db") -> DataFrame:
@@ -30,7 +33,7 @@ def longest_prefix(names: DataFrame, databases: DataFrame, name: str = "name", d
         F.size(parts) > 1,
         F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "_")),
     )
-    known = databases.select(F.col(db), key(db).alias("_key")).distinct()
+    known = written(databases.select(F.col(db), key(db).alias("_key")).distinct(), "prefixes")
     found = (
         names.select(name, F.explode(heads).alias("_key")).join(known, "_key")
         .groupBy(name).agg(F.max_by(db, F.struct(F.length("_key"), F.col(db))).alias(db))

@@ -9,29 +9,34 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tabscout.functions.hashing import h
 from tabscout.plans.corpora import order_corpus
 from tabscout.plans.registry import table
 from tabscout.session import scratch_path
 from tabscout.sources.files import filesystem
 from tabscout.sources.folders import write_folders
 
+DATABASE_TABLES = 1000  # customer keys to a database
+ARCHIVE_RECORDS = 4000  # records to an archive, about
 COLUMNS = ["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
 
 
 def nation_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Each nation a database, each customer a table of its orders: (tables, rows).
+    """A nation's customers are databases of at most DATABASE_TABLES tables, each customer a table of
+    its orders: (tables, rows).
 
     Building customers do not state their number of rows; every table refers to the first of its
     database.
     """
     customers = table(spark, sf_dir, "customer").join(
         table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")
-    )
-    first = customers.groupBy("n_name").agg(F.min("c_custkey").alias("first"))
+    ).withColumn("database_name", F.concat_ws(
+        "_", "n_name", F.floor(F.col("c_custkey") / DATABASE_TABLES).cast("string")))
+    first = customers.groupBy("database_name").agg(F.min("c_custkey").alias("first"))
     named = lambda key: F.concat(F.lit("Customer "), F.col(key).cast("string"))
     counts = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
-    head = customers.join(first, "n_name").select(
-        "c_custkey", F.col("n_name").alias("database_name"), named("c_custkey").alias("table_name"),
+    head = customers.join(first, "database_name").select(
+        "c_custkey", "database_name", named("c_custkey").alias("table_name"),
         F.array(*map(F.lit, COLUMNS)).alias("columns"),
         F.concat(F.lit("customer_"), F.col("c_custkey").cast("string"), F.lit(".csv")).alias("filepath"),
         F.array(F.struct(
@@ -80,42 +85,53 @@ def jsonl_tables(spark: SparkSession, sf_dir: str) -> str:
     return root
 
 
-def write_archives(records: DataFrame, root: str, archives: int, member_records: int = 1000) -> None:
-    """Spread (record) over tar.gz files of JSONL members with a bounded number of records each."""
+def write_archives(records: DataFrame, root: str, member_records: int = 1000) -> None:
+    """records(archive, name, record) as one tar.gz per archive, with JSONL members of a bounded number
+    of records in the order of their names. An archive is written by one task."""
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        where, inner = filesystem(f"{root}/part-{part}.tar.gz")
-        where.create_dir(inner.rsplit("/", 1)[0], recursive=True)
-        lines, n = [], 0
+        now, out, tar, lines, n, made = None, None, None, [], 0, 0
 
-        def add(tar):
-            body = "\n".join(lines).encode()
-            info = tarfile.TarInfo(f"data/part_{n}.jsonl")
+        def member(name: str, body: bytes) -> None:
+            info = tarfile.TarInfo(name)
             info.size = len(body)
             tar.addfile(info, io.BytesIO(body))
-            note = json.dumps({"ignored": n}).encode()
-            info = tarfile.TarInfo(f"data/note_{n}.txt")
-            info.size = len(note)
-            tar.addfile(info, io.BytesIO(note))
-
-        with where.open_output_stream(inner) as out, tarfile.open(fileobj=out, mode="w|gz") as tar:
-            for pdf in batches:
-                for record in pdf["record"]:
-                    lines.append(record)
-                    if len(lines) == member_records:
-                        add(tar)
-                        lines, n = [], n + 1
-            if lines:
-                add(tar)
-        yield pd.DataFrame({"archive": [part]})
-
-    records.repartition(archives).mapInPandas(write, "archive int").agg(F.count("archive")).collect()
-
-
-def archived_tables(spark: SparkSession, sf_dir: str, archives: int = 8) -> str:
+
+        def flush() -> None:
+            member(f"data/part_{n:06d}.jsonl", "\n".join(lines).encode())
+            member(f"data/note_{n:06d}.txt", json.dumps({"ignored": n}).encode())
+
+        def close() -> None:
+            if tar is not None:
+                if lines:
+                    flush()
+                tar.close()
+                out.close()
+
+        for pdf in batches:
+            for key, record in zip(pdf["archive"], pdf["record"]):
+                if key != now:
+                    close()
+                    where, inner = filesystem(f"{root}/part-{key}.tar.gz")
+                    where.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+                    out = where.open_output_stream(inner)
+                    tar, now, lines, n, made = tarfile.open(fileobj=out, mode="w|gz"), key, [], 0, made + 1
+                lines.append(record)
+                if len(lines) == member_records:
+                    flush()
+                    lines, n = [], n + 1
+        close()
+        yield pd.DataFrame({"archives": [made]})
+
+    placed = records.select("archive", "name", "record").repartition("archive").sortWithinPartitions("archive", "name")
+    placed.mapInPandas(write, "archives int").agg(F.sum("archives")).collect()
+
+
+def archived_tables(spark: SparkSession, sf_dir: str) -> str:
+    """The table records in archives of about ARCHIVE_RECORDS records, chosen by the table's hash."""
     root = scratch_path(spark, "archives")
-    write_archives(table_records(spark, sf_dir).select("record"), root, archives)
+    records = table_records(spark, sf_dir)
+    archives = -(-table(spark, sf_dir, "orders").count() // ARCHIVE_RECORDS)
+    named = records.select((h(F.col("table_name"), "archive") % max(1, archives)).alias("archive"), F.col("table_name").alias("name"), "record")
+    write_archives(named, root)
     return root

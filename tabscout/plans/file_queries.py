@@ -16,9 +16,10 @@ from tabscout.session import scratch_path
 from tabscout.sources import archive, files, folders, queries as query_sets, store, tables
 from tabscout.streaming.vectors import ingest_vectors
 
-_NATION_SQL = """
-heads AS (SELECT n_name AS database_name, c_custkey, c_mktsegment, min(c_custkey) OVER (PARTITION BY n_name) AS first_key
-          FROM customer JOIN nation ON n_nationkey = c_nationkey),
+_NATION_SQL = f"""
+heads AS (SELECT *, min(c_custkey) OVER (PARTITION BY database_name) AS first_key FROM (
+  SELECT n_name || '_' || c_custkey // {file_fixtures.DATABASE_TABLES} AS database_name, c_custkey, c_mktsegment
+  FROM customer JOIN nation ON n_nationkey = c_nationkey)),
 placed AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders),
 stats AS (
   SELECT o_custkey, count(*) AS n, list([o_orderkey::VARCHAR, o_orderstatus, o_totalprice::DECIMAL(18,2)::VARCHAR, o_orderpriority]
@@ -97,17 +98,18 @@ def archive_tables(spark, sf_dir):
     return _tables_out(tables.normalise_tables(records, "json-db"))
 
 
-@query("tables_json_with_ids", f"""WITH {CORPUS_SQL}
-SELECT sum((columns[-1] = 'l_returnflag')::INT)::BIGINT AS own_ids, sum((columns[-1] <> 'l_returnflag')::INT)::BIGINT AS given_ids,
-  count(*) AS different_ids FROM corpus""")
+@query("tables_json_with_ids", f"""WITH {CORPUS_SQL}, placed AS (
+  SELECT table_name, columns[-1] = 'l_returnflag' AS own,
+    {sql_h('table_name', "'archive'")} % (SELECT (count(*) + {file_fixtures.ARCHIVE_RECORDS - 1}) // {file_fixtures.ARCHIVE_RECORDS} FROM orders) AS archive FROM corpus),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY archive ORDER BY table_name) - 1 AS place FROM placed)
+SELECT 'part-' || archive || '.tar.gz' AS archive, table_name AS name, CASE WHEN own THEN table_name ELSE 'db_table_' || place END AS table_id
+FROM numbered""")
 def tables_json_with_ids(spark, sf_dir):
-    """Which records get an id depends on their place in the archive, so ids are only counted."""
+    """Ids by the place in the archive where a record has none, beside the record's own name."""
     records = archive.read_archive_format(spark, file_fixtures.archived_tables(spark, sf_dir), "tables_json")
-    given = F.col("table_id").startswith("db_table_")
-    return (
-        tables.identify_tables(records, "db").select("archive", "table_id", given.alias("given")).distinct()
-        .agg(F.count_if(~F.col("given")).alias("own_ids"), F.count_if("given").alias("given_ids"), F.count(F.lit(1)).alias("different_ids"))
-    )
+    name = F.coalesce(*[F.get_json_object("record", f"$.{key}") for key in ("table_id", "id", "name")])
+    return tables.identify_tables(records, "db").select(
+        F.regexp_extract("archive", "([^/]+)$", 1).alias("archive"), name.alias("name"), "table_id")
 
 
 _SPLITS = ("train", "validation", "test")

@@ -252,8 +252,9 @@ def test_index_job(spark, tmp_path):
 
 
 def test_archive_writer_bounds_members(spark, tmp_path):
-    df = spark.range(50).select(F.to_json(F.struct(F.col("id").alias("table_id"))).alias("record"))
-    file_fixtures.write_archives(df, str(tmp_path), 2, member_records=7)
+    df = spark.range(50).select((F.col("id") % 2).alias("archive"), F.col("id").alias("name"),
+                                F.to_json(F.struct(F.col("id").alias("table_id"))).alias("record"))
+    file_fixtures.write_archives(df, str(tmp_path), member_records=7)
     got = archive.read_archive_format(spark, str(tmp_path), "tables_json")
     assert got.count() == 50 and got.groupBy("archive", "member").count().agg(F.max("count")).first()[0] <= 7
 
