@@ -8,7 +8,8 @@
 3. A query goes to its most probable parts, until their probabilities add up to a level at which
    sampled vectors kept out of the fit found ``target`` of their sampled neighbours, and until the
    parts hold enough rows. Parts are cut into blocks; every (block of rows, block of queries) is one
-   matrix product, which sends on the best of each query. All scores are exact inner products.
+   matrix product, which sends on the best of each query. The first part limits what the others
+   send. All scores are exact inner products.
 
 Equal vectors are one candidate that stands for its k + 1 smallest ids, which is all that can be
 reported, so a vector that fills a third of the table costs one row. Rows with a null id, and vectors
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabscout.session import ship, written
 
-SAMPLE_NUMBERS = 1 << 19  # at most so many numbers in the sample: 8192 vectors of 64
+SAMPLE_NUMBERS = 1 << 18  # at most so many numbers in the sample: 4096 vectors of 64
 ROWS_PER_PART = 1500
 MOST_PARTS = 128
 BLOCK_ROWS = 8192
@@ -36,10 +37,10 @@ TARGET = 0.96
 def nearest(x: np.ndarray, queries: np.ndarray, k: int) -> np.ndarray:
     """Places of the k + 1 largest inner products for rows of ``x`` numbered ``queries``, itself left out."""
     out = []
-    for at in np.array_split(queries, max(1, len(queries) // 512)):
+    for at in np.array_split(queries, max(1, len(queries) // 128)):
         scores = x[at] @ x.T
         scores[np.arange(len(at)), at] = -np.inf
-        out.append(np.argpartition(-scores, k - 1, axis=1)[:, :k])
+        out.append(np.argpartition(scores, -k, axis=1)[:, -k:])
     return np.concatenate(out)
 
 
@@ -119,8 +120,8 @@ class Router:
     def parts(self, x: np.ndarray) -> np.ndarray:
         return self.probabilities(x).argmax(axis=1)
 
-    def probes(self, x: np.ndarray, least_rows: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query places, parts) to look at."""
+    def probes(self, x: np.ndarray, least_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query places, parts to look at, their rank for the query)."""
         p = self.probabilities(x)
         order = np.argsort(-p, axis=1, kind="stable")
         before = np.cumsum(np.take_along_axis(p, order, 1), axis=1) - np.take_along_axis(p, order, 1)
@@ -128,7 +129,7 @@ class Router:
         rows_before = np.cumsum(rows, axis=1) - rows
         take = ((before < self.level) | (rows_before < least_rows)) & (rows > 0)
         who, place = np.nonzero(take)
-        return who, order[who, place]
+        return who, order[who, place], place
 
 
 def learn(x: np.ndarray, rows: int, k: int, target: float) -> Router:
@@ -192,32 +193,23 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, target: float = TA
     if n == 0:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     sample = distinct.select("v", F.xxhash64("rep").alias("h"), "rep").orderBy("h", "rep").limit(max(256, SAMPLE_NUMBERS // dim.n)).select("v")
-    x = np.array([r.v for r in sample.collect()], np.float64)
+    x = _matrix(sample.toArrow().column("v").combine_chunks())
     router = learn(x, n, k, target)
 
     placed = written(distinct.select("rep", "v").mapInArrow(_placing(router), "rep bigint, part int, v array<double>"), "placed")
     for row in placed.groupBy("part").count().collect():  # at most MOST_PARTS rows
         router.sizes[row.part] = row["count"]
     queries = distinct.join(asked.select("rep").distinct(), "rep", "left_semi").select("rep", "v")
-    probing = written(queries.mapInArrow(_probing(router, 4 * (k + 1)), "rep bigint, part int, v array<double>"), "probing")
-
-    def blocks(df: DataFrame, size: int, name: str) -> DataFrame:
-        return df.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
-
-    grid = written(blocks(placed, BLOCK_ROWS, "row_blocks").join(blocks(probing, BLOCK_QUERIES, "query_blocks"), "part"), "grid")
-
-    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
-        spread = df.join(grid, "part").withColumn("_own", F.pmod(F.xxhash64("rep"), F.col(own)).cast("int"))
-        spread = spread.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-        pair = ("_own", "_other") if own == "row_blocks" else ("_other", "_own")
-        return spread.select("part", F.col(pair[0]).alias("row_block"), F.col(pair[1]).alias("query_block"), "rep", "v")
-
-    cell = ["part", "row_block", "query_block"]
-    scored = (
-        dealt(placed, "row_blocks", "query_blocks").groupBy(*cell)
-        .cogroup(dealt(probing, "query_blocks", "row_blocks").groupBy(*cell))
-        .applyInArrow(_best(k + 1), "query bigint, rep bigint, score double")
-    )
+    probing = written(queries.mapInArrow(_probing(router, 4 * (k + 1)), "rep bigint, part int, place int, v array<double>"), "probing")
+    first = F.min("place").over(Window.partitionBy("rep"))
+    probing = written(probing.withColumn("first", F.col("place") == first), "probing")
+
+    # The most probable part gives each query a lower limit; other parts send what reaches it.
+    seeds = written(_scored(placed, probing.where("first").withColumn("floor", F.lit(float("-inf"))), k + 1), "seeds")
+    enough = F.when(F.count(F.lit(1)) > k, F.min("score")).otherwise(float("-inf"))
+    floor = seeds.groupBy("query").agg(enough.alias("floor"))
+    others = probing.where("not first").join(floor, F.col("rep") == F.col("query")).drop("query")
+    scored = seeds.unionByName(_scored(placed, written(others, "others"), k + 1))
     top = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
     reps = scored.withColumn("_n", F.row_number().over(top)).where(F.col("_n") <= k + 1).drop("_n")
     each = reps.join(distinct.select("rep", "ids"), "rep").select("query", "score", F.explode("ids").alias("vec_id"))
@@ -235,6 +227,28 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, target: float = TA
     )
 
 
+def _scored(placed: DataFrame, probing: DataFrame, k: int) -> DataFrame:
+    """(query, rep, score): the k best of every block of rows for the queries that probe its part."""
+
+    def blocks(df: DataFrame, size: int, name: str) -> DataFrame:
+        return df.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+
+    grid = written(blocks(placed, BLOCK_ROWS, "row_blocks").join(blocks(probing, BLOCK_QUERIES, "query_blocks"), "part"), "grid")
+
+    def dealt(df: DataFrame, own: str, other: str, *columns: str) -> DataFrame:
+        spread = df.join(grid, "part").withColumn("_own", F.pmod(F.xxhash64("rep"), F.col(own)).cast("int"))
+        spread = spread.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        pair = ("_own", "_other") if own == "row_blocks" else ("_other", "_own")
+        return spread.select("part", F.col(pair[0]).alias("row_block"), F.col(pair[1]).alias("query_block"), "rep", "v", *columns)
+
+    cell = ["part", "row_block", "query_block"]
+    return (
+        dealt(placed, "row_blocks", "query_blocks").groupBy(*cell)
+        .cogroup(dealt(probing, "query_blocks", "row_blocks", "floor").groupBy(*cell))
+        .applyInArrow(_best(k), "query bigint, rep bigint, score double")
+    )
+
+
 def _placing(router: Router):
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,10 +264,11 @@ def _probing(router: Router, least_rows: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            who, part = router.probes(_matrix(batch.column("v")), least_rows)
+            who, part, place = router.probes(_matrix(batch.column("v")), least_rows)
             taken = batch.take(pa.array(who))
             yield pa.RecordBatch.from_arrays(
-                [taken.column("rep"), pa.array(part.astype(np.int32)), taken.column("v")], ["rep", "part", "v"])
+                [taken.column("rep"), pa.array(part.astype(np.int32)), pa.array(place.astype(np.int32)), taken.column("v")],
+                ["rep", "part", "place", "v"])
 
     return probe
 
@@ -267,14 +282,14 @@ def _best(k: int):
         order = np.argsort(reps)
         reps, x = reps[order], _matrix(rows.column("v").combine_chunks())[order]
         asking, q = queries.column("rep").to_numpy(), _matrix(queries.column("v").combine_chunks())
+        floor = queries.column("floor").to_numpy()
         out: list[tuple] = []
         for at in range(0, len(q), 512):
             scores = q[at:at + 512] @ x.T
+            least = floor[at:at + 512]
             if len(reps) > k:
-                least = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
-                who, place = np.nonzero(scores >= least[:, None])
-            else:
-                who, place = np.nonzero(np.ones_like(scores, bool))
+                least = np.maximum(least, np.partition(scores, -k, axis=1)[:, -k])
+            who, place = np.nonzero(scores >= least[:, None])
             value = scores[who, place]
             rank = np.lexsort((place, -value, who))  # reps ascend with place
             who, place, value = who[rank], place[rank], value[rank]
