@@ -87,7 +87,7 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coale
 LINE_JOIN = f"""WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
 sets AS (
-  SELECT doc_id, line_no, list_sort(list_distinct(list_filter(string_split_regex({_LOWER.format(x='line')}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''))) AS words
+  SELECT doc_id, line_no, list_sort(list_distinct(list_filter(string_split_regex(lower(line), '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''))) AS words
   FROM lines),
 classes AS (
   SELECT words, len(words) AS n, min({{'d': coalesce(doc_id, {linejoin.LAST}), 'l': line_no}}) AS first FROM sets WHERE len(words) > 0 GROUP BY words),
