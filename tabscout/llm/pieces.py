@@ -6,36 +6,50 @@ are those of its pieces one after another. A piece is encoded by the library, ne
 from __future__ import annotations
 
 import os
-from array import array
-from itertools import islice
+
+import numpy as np
 
 MARK = "\x02"  # an ASCII control character, never white space, a letter or part of another character
 LONGEST_CACHED = 64
+TAILS = ".,;:!?"
+
+
+def _word_end(char: str | bytes) -> bool:
+    return char.isascii() and char.isalnum()
+
 
 _encoders: dict[tuple, "PieceEncoder"] = {}
 
 
 class PieceEncoder:
-    """Cache from piece to ``value(ids)``; new pieces go to the library, many in one call."""
+    """Cache from piece to its value; new pieces go to the library, many in one call.
 
-    def __init__(self, path: str, value, limit: int, seed: dict | None = None):
+    ``values(ids, begins, ends)`` gives the values of consecutive slices of an array of ids.
+    """
+
+    def __init__(self, path: str, values, limit: int, seed: dict | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.value, self.limit, self.cache = value, limit, dict(seed or {})
+        self.values, self.limit, self.cache = values, limit, dict(seed or {})
         self.mark = self.ids(" " + MARK)
+        signs = {c: self.value(self.ids(c)) for c in TAILS}
+        self.tails = signs | {c.encode(): v for c, v in signs.items()}
 
     @classmethod
-    def of(cls, path: str, value, limit: int, seed: dict | None = None) -> "PieceEncoder":
+    def of(cls, path: str, values, limit: int, seed: dict | None = None) -> "PieceEncoder":
         """The worker's own encoder: tasks that run in one Python process share its cache."""
-        key = (path, value.__name__, limit)
+        key = (path, values.__name__, limit)
         if key not in _encoders:
-            _encoders[key] = cls(path, value, limit, seed)
+            _encoders[key] = cls(path, values, limit, seed)
         return _encoders[key]
 
+    def value(self, ids: list[int]):
+        return self.values(np.array(ids, np.uint32), np.array([0]), np.array([len(ids)]))[0]
+
     def ids(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
@@ -46,37 +60,39 @@ class PieceEncoder:
         holds the mark or a special token is encoded alone.
         """
         out: list = [None] * len(texts)
-        plain = []
-        for i, text in enumerate(texts):
-            if MARK in text or "<|" in text:
-                out[i] = self.value(array("I", self.ids(text)))
-            else:
-                plain.append(i)
-        tail, skip = self.mark[-1], len(self.mark)
+        plain = [i for i, text in enumerate(texts) if MARK not in text and "<|" not in text]
+        for i in set(range(len(texts))).difference(plain):
+            out[i] = self.value(self.ids(texts[i]))
         separator = " " + MARK
         for at in range(0, len(plain), 512):
             part = plain[at:at + 512]
-            ids = array("I", self.ids("".join(texts[i] + separator for i in part)))
-            begin = 0
-            for i in part:
-                end = ids.index(tail, begin)
-                out[i] = self.value(ids[begin:end + 1 - skip])
-                begin = end + 1
+            ids = np.array(self.ids("".join([texts[i] + separator for i in part])), np.uint32)
+            marks = np.flatnonzero(ids == self.mark[-1]) + 1
+            values = self.values(ids, np.r_[0, marks[:-1]], marks - len(self.mark))
+            for i, value in zip(part, values, strict=True):
+                out[i] = value
         return out
 
     def fill(self, pieces: set, text_of) -> dict:
-        """Make every piece known; long pieces come back in a dict of their own, not kept."""
-        new = list(pieces.difference(self.cache))
-        long = {}
-        for piece, value in zip(new, self.encode_many([text_of(p) for p in new])):
-            if len(piece) <= LONGEST_CACHED:
-                self.cache[piece] = value
-            else:
-                long[piece] = value
+        """Make every piece known; long pieces come back in a dict of their own, not kept.
+
+        A sign of ``TAILS`` after an ASCII letter or digit is a pre-token of its own, so such a
+        piece is worth its two parts and only the first has to be known.
+        """
+        new = pieces.difference(self.cache)
+        ending = {p: p[:-1] for p in new if p[-1:] in self.tails and _word_end(p[-2:-1])}
+        bases = {b for b in ending.values() if b not in self.cache}
+        alone = list(new.difference(ending) | bases)
+        values = dict(zip(alone, self.encode_many([text_of(p) for p in alone])))
+        long = {p: v for p, v in values.items() if len(p) > LONGEST_CACHED}
+        self.cache.update((p, v) for p, v in values.items() if p not in long)
+        for piece, base in ending.items():
+            value = (self.cache[base] if base in self.cache else long[base]) + self.tails[piece[-1:]]
+            (self.cache if len(piece) <= LONGEST_CACHED else long)[piece] = value
         return long
 
     def shrink(self) -> None:
-        """Forget the older half once the cache is over its limit."""
+        """Over the limit, go back to two thirds of it: the newest go, common pieces came early."""
         if len(self.cache) > self.limit:
-            for piece in list(islice(self.cache, len(self.cache) // 2)):
-                del self.cache[piece]
+            for _ in range(len(self.cache) - 2 * self.limit // 3):
+                self.cache.popitem()

@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -22,10 +23,14 @@ from tabscout.session import ship
 
 _ADJACENT = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-CACHE_PIECES = 500_000
+CACHE_PIECES = 800_000
 BATCH_CHARS = 8_000_000
 
 
+def _sizes(ids: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> list[int]:
+    return (ends - begins).tolist()
+
+
 def _spaced(piece: str) -> str:
     """The text a piece stands for: a blank before it, unless it opens a line."""
     return piece if piece[:1] == "\n" else " " + piece
@@ -62,12 +67,12 @@ def count_tokens(
     spark = ship(docs.sparkSession).sparkContext
     texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     common = sampled_pieces(texts.select("text"), sample_documents, frequent)
-    encoder = PieceEncoder(tokenizer, len, CACHE_PIECES)
+    encoder = PieceEncoder(tokenizer, _sizes, CACHE_PIECES)
     encoder.fill(set(common), _spaced)
     tier_one = spark.broadcast({p: encoder.cache[p] for p in common})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = PieceEncoder.of(tokenizer, len, CACHE_PIECES, tier_one.value)
+        tokens = PieceEncoder.of(tokenizer, _sizes, CACHE_PIECES, tier_one.value)
         for batch in batches:
             sizes, counts = [], []
             parts: list[tuple[str, list[str], int]] = []

@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +25,7 @@ from tabscout.session import scratch_path, ship
 
 SHARD_TOKENS = 1 << 20
 RANK_BITS = 4096
-CACHE_PIECES = 600_000
+CACHE_PIECES = 900_000
 
 SHARD_SCHEMA = (
     "part int, seq int, n_tokens bigint, bits int, doc_ids binary, doc_has_id binary, lengths binary, "
@@ -147,12 +146,14 @@ class WaveletMatrix:
         return ids
 
 
-def _two_bytes(ids: array) -> bytes:
-    return array("H", ids).tobytes()
+def _two_bytes(ids: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    raw = ids.astype(np.uint16).tobytes()
+    return [raw[2 * b:2 * e] for b, e in zip(begins.tolist(), ends.tolist())]
 
 
-def _four_bytes(ids: array) -> bytes:
-    return ids.tobytes()
+def _four_bytes(ids: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    raw = ids.tobytes()
+    return [raw[4 * b:4 * e] for b, e in zip(begins.tolist(), ends.tolist())]
 
 
 _MARKS = re.compile(rb"<\||[\xcc\xcd]")  # special tokens, combining accents
