@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from tabscout.llm import linecrf, partitions, queries
+from tabscout.llm import linecrf, partitions, queries, shingles
 
 SF = "/root/testdata/sf0.001"
 SF2 = "/root/testdata/sf0.01"
@@ -125,6 +125,58 @@ def test_stages(spark):
     assert corpus_pipeline.run(spark, SF).count() == counts[3]
 
 
+def by_jaccard(rows, words=5, least=0.8):
+    """Smallest id of every component, by comparing all with all."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i:i + words]) for i in range(max(1, len(w) - words + 1))} if w else set())
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if label[i] != label[j] and (sets[i] == sets[j] or both >= least * (len(sets[i]) + len(sets[j]) - both)):
+                label = [label[j] if x == label[i] else x for x in label]
+    group = {}
+    for (i, _), x in zip(rows, label):
+        group.setdefault(x, []).append(i)
+    return sorted((min((i for i in g if i is not None), default=None) for g in group.values()), key=str)
+
+
+def test_near_dedup_stage(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    text = lambda n: [f"w{k}" for k in rng.integers(0, 3000, n)]
+    rows = [(1000, None), (1001, ""), (1002, " \n "), (1003, "one two"), (1004, "ONE two"), (None, "no id at all"), (None, "no id at all"),
+            (7, "one two three four five six"), (7, "one two three four five seven"), (None, "one two")]
+    for g in range(40):  # pairs on both sides of the limit
+        base = text(int(rng.integers(40, 300)))
+        rows.append((len(rows), " ".join(base)))
+        for _ in range(3):
+            other = list(base)
+            for k in rng.integers(0, len(base), max(1, len(base) * int(rng.integers(1, 5)) // 100)):
+                other[k] = f"x{len(rows)}"
+            rows.append((len(rows), " ".join(other)))
+    base = text(120)
+    for n in range(120):  # one large group
+        other = list(base)
+        for k in rng.integers(0, 120, int(rng.integers(0, 6))):
+            other[k] = f"y{n}"
+        rows.append((5000 + n, " ".join(other)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    want = by_jaccard(rows)
+    assert sorted((r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, SF).collect()), key=str) == want
+    monkeypatch.setattr(shingles, "SPLIT", 3)
+    monkeypatch.setattr(shingles, "NEAR", 1)
+    assert sorted((r.doc_id for r in shingles.deduplicate(df).collect()), key=str) == want
+    assert shingles.deduplicate(df.limit(0)).count() == 0
+
+
+def test_near_dedup_stage_on_data(spark):
+    docs = spark.read.parquet(f"{SF2}/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    assert sorted((r.doc_id for r in shingles.deduplicate(docs).collect()), key=str) == by_jaccard(rows)
+
+
 def test_registered():
     ours = {q.split("_")[0] for q in entry.queries() if q.startswith("op")}
     assert ours == {f"op{n}" for n in range(1, 11)} and "pipeline" in entry.queries()
