@@ -417,3 +417,30 @@ def test_line_join(docs, empty, spark, monkeypatch):
         assert texts_left[i] == (None if t is None else "\n".join(x for at, x in enumerate(t.split("\n")) if str(at) not in gone))
     assert linejoin.report(empty).count() == 0
     assert linejoin.report(docs).count() == len({i for i, _, _ in texts()})
+
+
+def test_line_join_tells_rows_apart(spark, docs):
+    def left(rows):
+        df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+        return sorted((r.doc_id if r.doc_id is not None else -1, r.text) for r in linejoin.deduplicated(df).collect())
+
+    # Line 0 of one row without id goes; line 0 of the other has no earlier match.
+    assert left([(1, "a b c"), (None, "a b c\nd e f"), (None, "g h i\nj k l")]) == [(-1, "d e f"), (-1, "g h i\nj k l"), (1, "a b c")]
+    # Equal lines at one place of two rows of one id: the later one goes.
+    assert left([(8, "single"), (8, "single"), (None, "x y"), (None, "x y")]) == [(-1, ""), (-1, "x y"), (8, ""), (8, "single")]
+    twice = spark.createDataFrame([(8, "p q"), (8, "p q")], "doc_id bigint, text string")
+    assert [tuple(r) for r in linejoin.report(twice).collect()] == [(8, 2, 1, "0")]
+
+    # Null and repeated ids of the hard cases, by brute force in the order of the rows.
+    want, seen = [], []
+    for (at, _, _), i, t in sorted((tuple(r.doc), r.doc_id, r.text) for r in linejoin._numbered(docs).collect()):
+        assert at == (linejoin.LAST if i is None else i)
+        kept = []
+        for line in (t.split("\n") if t is not None else []):
+            s = frozenset(words(line))
+            if not (s and any(9 * len(s & o) >= 4 * (len(s) + len(o)) for o in seen)):
+                kept.append(line)
+            if s:
+                seen.append(s)
+        want.append((i, None if t is None else "\n".join(kept)))
+    same(linejoin.deduplicated(docs).collect(), want)
