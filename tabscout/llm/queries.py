@@ -42,6 +42,11 @@ def op3_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linejoin.report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_line_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linejoin.line_links(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.binary_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

@@ -419,6 +419,27 @@ def test_line_join(docs, empty, spark, monkeypatch):
     assert linejoin.report(docs).count() == len({i for i, _, _ in texts()})
 
 
+def test_line_links(docs, empty, spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(i, t) for i, t, _ in texts()]
+    for n in range(40):  # one large group of near copies
+        w = [f"w{k}" for k in range(24)]
+        w[int(rng.integers(24))] = f"v{n % 30}"
+        rows.append((100 + n, "\n".join((" ".join(w), f"lone line {n} of its own", "common line"))))
+    lines = [(i, at, frozenset(words(x))) for i, t in rows if t is not None for at, x in enumerate(t.split("\n"))]
+    size = collections.Counter(s for _, _, s in lines)
+    count = {s: sum(s != o and bool(o) and 9 * len(s & o) >= 4 * (len(s) + len(o)) for o in size) for s in size}
+    want = [(i, at, size[s] if s else 0, count[s] if s else 0) for i, at, s in lines]
+    assert max(count.values()) > 20
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    for split in (linejoin.SPLIT, 5):
+        monkeypatch.setattr(linejoin, "SPLIT", split)
+        got = linejoin.line_links(table).collect()
+        same([(r.doc_id, r.line_no, r.class_lines, r.n_links) for r in got], want)
+        assert len({r.class_id for r in got if r.class_id}) == len([s for s in size if s])
+    assert linejoin.line_links(empty).count() == 0
+
+
 def test_line_join_tells_rows_apart(spark, docs):
     def left(rows):
         df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
