@@ -104,6 +104,19 @@ def pairs_of(ix: Index, anchors: DataFrame, label: float = 0.5) -> DataFrame:
         "database_name", "table_a", "table_b", F.lit(label).alias("label"))
 
 
+def all_pairs(ix: Index, label: float = 0.5) -> DataFrame:
+    """Every same-database pair, the table with the lower ordinal first.
+
+    Each table is its own anchor and lists the ordinals after it, which are then looked up, so a large
+    database is as many keys as it has tables.
+    """
+    left = ix.tables.where("tab_ord < n_tables - 1").select(
+        "database_name", F.col("table_name").alias("table_a"),
+        F.explode(F.sequence(F.col("tab_ord") + 1, F.col("n_tables") - 1)).alias("tab_ord"))
+    right = ix.tables.select("database_name", "tab_ord", F.col("table_name").alias("table_b"))
+    return left.join(right, ["database_name", "tab_ord"]).select("database_name", "table_a", "table_b", F.lit(label).alias("label"))
+
+
 def positive_pairs(
     ix: Index, partners_per_table: int | None = None, seed: int = 42, label: float = 0.5
 ) -> DataFrame:

@@ -131,6 +131,18 @@ def pc_positive_pairs(spark, sf_dir):
     return samples.pairs_of(ix, ix.tables.where("tab_ord = 0"))
 
 
+@query("pc_positive_pair_texts", f"""WITH {INDEX_SQL}, {POSITIVE_SQL}, v AS (SELECT *, {SQL_ROW} AS row_text FROM filled)
+SELECT p.database_name AS db_a, table_a, p.database_name AS db_b, table_b, label, a.row_text AS text_a, b.row_text AS text_b
+FROM positives p JOIN v a ON a.database_name = p.database_name AND a.table_name = table_a
+JOIN v b ON b.database_name = p.database_name AND b.table_name = table_b""")
+def pc_positive_pair_texts(spark, sf_dir):
+    """All pairs of all anchors, with row-view texts."""
+    corpus = stored_corpus(spark, sf_dir)
+    listed = samples.all_pairs(samples.index(corpus)).select(
+        F.col("database_name").alias("db_a"), "table_a", F.col("database_name").alias("db_b"), "table_b", "label")
+    return samples.pair_texts(corpus, listed)
+
+
 @query("pc_negative_pairs", f"WITH {INDEX_SQL}, {NEGATIVE_SQL} SELECT * FROM negatives")
 def pc_negative_pairs(spark, sf_dir):
     return samples.negative_pairs(samples.index(order_corpus(spark, sf_dir)), SEED)

@@ -38,3 +38,9 @@ def test_query_equals_sql(spark, name):
     want = con.sql(entry.oracle_sql()[name])
     assert sorted(df.columns) == sorted(want.columns)
     assert plain([tuple(r) for r in df.collect()], df.columns) == plain(want.fetchall(), want.columns)
+
+
+def test_every_positive_pair_is_listed_with_texts(spark):
+    test_query_equals_sql(spark, "pc_positive_pair_texts")
+    space = entry.queries()["pc_pair_space"](spark, SF).agg({"n_pairs": "sum"}).first()[0]
+    assert entry.queries()["pc_positive_pair_texts"](spark, SF).count() == space > 0
