@@ -106,3 +106,72 @@ told AS (
 SELECT doc_id, count(line_no) AS n_lines, count(CASE WHEN gone THEN 1 END) AS n_removed,
   coalesce(string_agg(CASE WHEN gone THEN line_no::VARCHAR END, ',' ORDER BY line_no), '') AS removed
 FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN told USING (doc_id) GROUP BY doc_id"""
+
+
+def _crc32(text: str) -> str:
+    """crc32 of an ASCII text, bit by bit."""
+    return f"""xor(4294967295, list_reduce(list_transform(range(1, length({text}) + 1), lambda i: ascii(substr({text}, i, 1))::BIGINT),
+      lambda c, b: list_reduce(range(8), lambda x, j: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(c, b)),
+      4294967295::BIGINT))"""
+
+
+def _edit(state: str, letter: str, cost: str, line: str | None = None) -> str:
+    """``state`` = {c: cost, a: audit, r: repaired} after one more edit; null stays null."""
+    put = f"{state}.r || CASE WHEN {state}.r = '' THEN '' ELSE chr(10) END || {line}" if line else f"{state}.r"
+    return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 'r': {put}}} END"
+
+
+def _with_inserts(source: str, keys: str) -> str:
+    """SELECT of ``source`` with the states that inserted rows reach."""
+    u = ", ".join(_edit(x, "I", "2", "'user:'") for x in "zsa")
+    a = _edit("u1", "I", "2", "'assistant:'")
+    return f"SELECT {keys}, z, s, u1 AS u, least(a, {a}) AS a FROM (SELECT *, least(u, {u}) AS u1 FROM {source})"
+
+
+def _after_row() -> str:
+    """The four states after one row, from those before it."""
+    gone = lambda x: _edit(x, "D", "3")
+    keep = lambda x, initial: f"CASE WHEN NOT gone AND initial = '{initial}' THEN {_edit(x, 'K', 'cut', 'line')} END"
+    change = lambda x, role: f"CASE WHEN NOT gone THEN {_edit(x, 'R', '2 + cut', f"'{role}:' || text")} END"
+    into_u = [keep(x, "u") for x in "zsa"] + [change(x, "user") for x in "zsa"]
+    return f"""{gone('z')} AS z, least({gone('s')}, {keep('z', 's')}) AS s, least({gone('u')}, {', '.join(into_u)}) AS u,
+      least({gone('a')}, {keep('u', 'a')}, {change('u', 'assistant')}) AS a"""
+
+
+_START = "{'c': 0::BIGINT, 'a': '', 'r': ''}"
+
+# Damage and faults, then the cheapest and least audit row by row for each state: nothing yet (z), after
+# system (s), user (u) and assistant (a).
+REPAIR = rf"""WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn::BIGINT AS turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+kinds AS (SELECT *, {_crc32('k')} % 20 AS kind FROM keyed),
+hurt AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM kinds WHERE kind <> 0),
+placed AS (
+  SELECT *, left(role, 1) AS initial, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM hurt),
+faults AS (
+  SELECT *, NOT regexp_matches(text, '[^ 	-]') AS blank, role || ':' || text AS line,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+         regexp_extract(text, '([^ 	-])[ 	-]*$', 1) NOT IN ('.', '!', '?') AS open_end,
+         lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM placed),
+marked AS (
+  SELECT *, blank OR again AS gone, (NOT blank AND NOT again AND open_end)::INTEGER AS cut FROM faults),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+    count(*) FILTER (again AND NOT blank) AS duplicate, sum(cut)::BIGINT AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM marked GROUP BY 1),
+walk AS (
+  SELECT conv_id, 0::BIGINT AS done, {_START} AS z, NULL::STRUCT(c BIGINT, a VARCHAR, r VARCHAR) AS s,
+    {_edit(_START, 'I', '2', "'user:'")} AS u, {_edit(_edit(_START, 'I', '2', "'user:'").join('()'), 'I', '2', "'assistant:'")} AS a FROM counts
+  UNION ALL
+  {_with_inserts(f"(SELECT w.conv_id, m.i AS done, {_after_row()} FROM walk w JOIN marked m ON m.conv_id IS NOT DISTINCT FROM w.conv_id AND m.i = w.done + 1)",
+                 "conv_id, done")}),
+ended AS (
+  SELECT c.*, least(z, a) AS best FROM walk w JOIN counts c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.n = w.done)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost, coalesce(best.a, '') AS audit,
+  sha256(coalesce(best.r, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabscout.llm import decontaminate, golay, katz, linecrf, linejoin, mixing, oracles, partitions, randomness, tokencount, wavelet
+from tabscout.llm import decontaminate, golay, katz, linecrf, linejoin, mixing, oracles, partitions, randomness, repair, tokencount, wavelet
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -14,6 +14,7 @@ ORACLES: dict[str, str] = {
     "op1_mixing": oracles.MIXING,
     "op3_line_join": oracles.LINE_JOIN,
     "op5_decontamination": oracles.DECONTAMINATION,
+    "op11_viterbi_repair": oracles.REPAIR,
 }
 
 
@@ -85,3 +86,8 @@ def op9_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op11_viterbi_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.report(table(spark, sf_dir, "conversations"))
