@@ -153,9 +153,12 @@ hurt AS (
 placed AS (
   SELECT *, left(role, 1) AS initial, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM hurt),
 faults AS (
-  SELECT *, NOT regexp_matches(text, '[^ 	-]') AS blank, role || ':' || text AS line,
+  SELECT *, NOT regexp_matches(text, '[^ 	-
+]') AS blank, role || ':' || text AS line,
          row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
-         regexp_extract(text, '([^ 	-])[ 	-]*$', 1) NOT IN ('.', '!', '?') AS open_end,
+         regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) NOT IN ('.', '!', '?') AS open_end,
          lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM placed),
 marked AS (
   SELECT *, blank OR again AS gone, (NOT blank AND NOT again AND open_end)::INTEGER AS cut FROM faults),
@@ -175,3 +178,16 @@ SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
   coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost, coalesce(best.a, '') AS audit,
   sha256(coalesce(best.r, '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+NEGATIVES = """WITH v AS (
+  SELECT row_number() OVER () AS uid, vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.uid AS anchor, a.id AS anchor_id, b.uid, b.id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM v a JOIN v b ON a.uid <> b.uid WHERE a.id % 100 = 0),
+pos AS (SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id, uid) <= 5)
+SELECT p.anchor_id, p.id AS positive_id, row_number() OVER w::INTEGER AS rank, n.id AS negative_id,
+  p.score AS positive_score, n.score AS negative_score
+FROM pos p JOIN scored n ON n.anchor = p.anchor AND NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score
+WINDOW w AS (PARTITION BY p.anchor, p.uid ORDER BY n.score DESC, n.id, n.uid) QUALIFY row_number() OVER w <= 5"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabscout.llm import decontaminate, golay, katz, linecrf, linejoin, mixing, oracles, partitions, randomness, repair, tokencount, wavelet
+from tabscout.llm import decontaminate, golay, katz, linecrf, linejoin, mixing, negatives, oracles, partitions, randomness, repair, tokencount, wavelet
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -15,6 +15,7 @@ ORACLES: dict[str, str] = {
     "op3_line_join": oracles.LINE_JOIN,
     "op5_decontamination": oracles.DECONTAMINATION,
     "op11_viterbi_repair": oracles.REPAIR,
+    "op12_threshold_negatives": oracles.NEGATIVES,
 }
 
 
@@ -91,3 +92,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_viterbi_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.report(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op12_threshold_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    relabel = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(negatives.prepared(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, relabel))
