@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabscout.llm import decontaminate, golay, katz, linecrf, linejoin, mixing, negatives, oracles, partitions, randomness, repair, tokencount, wavelet
+from tabscout.llm import decontaminate, golay, katz, linecrf, linejoin, mixing, negatives, oracles, partitions, randomness, repair, tokencount, toxicity, wavelet
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -98,3 +98,12 @@ def op11_viterbi_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_threshold_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     relabel = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.mine(negatives.prepared(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, relabel))
+
+
+@query
+def op13_ngram_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~fold)
+    return toxicity.with_scores(docs, model, "score").select(
+        "doc_id", fold.alias("held_out"), "score", F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0).alias("predicted"))
