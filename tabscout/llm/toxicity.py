@@ -1,6 +1,6 @@
 """Toxicity from a linear classifier over character n-grams, scaled by naive Bayes log-count ratios.
 
-A text's features say which n-grams of 3 to 5 characters it holds (A-Z lower-cased, white space runs as
+A text's features say which n-grams of 3 to 7 characters it holds (A-Z lower-cased, white space runs as
 one space, a space at both ends), by hash bucket. A feature's value is its log-count ratio: the logarithm
 of its share among the n-grams of toxic documents over that among the others, both with one added. Logistic
 regression with weight decay over these values gives the probability of being toxic.
@@ -23,14 +23,14 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tabscout.session import ship, written
 
 SAMPLE = 4000
-FEATURES = 4096
+FEATURES = 8192
 THRESHOLD = 0.5
-SIZES = (3, 4, 5)
+SIZES = (3, 4, 5, 6, 7)
 BITS = 22
 PIECE = 1 << 20  # characters looked at together
 
@@ -88,7 +88,7 @@ def log_ratio(toxic: np.ndarray, other: np.ndarray, all_toxic: int, all_other: i
 
 
 def fit(documents: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, rounds: int = 200, rate: float = 0.05,
-        decay: float = 1e-3) -> tuple[np.ndarray, float]:
+        decay: float = 3e-3) -> tuple[np.ndarray, float]:
     """(weights of presence, bias): logistic regression over ``ratio`` values by full-batch Adam.
 
     Both labels weigh the same in sum.
@@ -113,11 +113,9 @@ def fit(documents: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, roun
 def _sampled(docs: DataFrame, labels: DataFrame, learn: Column, sample: int) -> DataFrame:
     """(doc_id, toxic, text) of the sample, stored."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(learn)
-    first = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (
-        known.groupBy("doc_id").agg(F.min("toxic").alias("toxic"))
-        .withColumn("place", F.row_number().over(first)).where(F.col("place") <= sample).drop("place")
-    )
+    marks = known.groupBy("doc_id").agg(F.min("toxic").alias("toxic"))
+    first = lambda toxic: marks.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = first(0).unionByName(first(1))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
     return written(texts.groupBy("doc_id", "toxic").agg(F.max(F.coalesce("text", F.lit(""))).alias("text")), "labelled")
 

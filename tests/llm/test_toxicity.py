@@ -14,7 +14,7 @@ SCHEMA = "doc_id bigint, text string, _toxicity int, toxic string, place int, fo
 
 def grams(text):
     flat = re.sub(r"[\x20\x09-\x0D]+", " ", " " + re.sub("[A-Z]", lambda m: m[0].lower(), text or "") + " ")
-    return {flat[i:i + n] for n in (3, 4, 5) for i in range(len(flat) - n + 1)}
+    return {flat[i:i + n] for n in (3, 4, 5, 6, 7) for i in range(len(flat) - n + 1)}
 
 
 @pytest.mark.parametrize("text", [None, "", " ", "a", "Ab\n\nC  ", "ÉÈ日本\U0001F600語 tab\tend", "x" * 50, "word " * 40 + "\x00\x00\x00a"])
@@ -106,7 +106,7 @@ def test_fit_is_at_its_optimum():
     x = np.array([[i in d for i in range(6)] for d in docs]) * ratio
     per = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean())) / 200
     off = (1 / (1 + np.exp(-(x @ (weight / ratio) + bias))) - labels) * per
-    assert np.abs(np.append(x.T @ off + 1e-3 * weight / ratio, off.sum())).max() < 1e-5
+    assert np.abs(np.append(x.T @ off + 3e-3 * weight / ratio, off.sum())).max() < 1e-5
 
 
 def test_nothing_to_learn_from(spark):
@@ -124,5 +124,7 @@ def test_held_out_documents(spark):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     rows = got.where("held_out").join(labels, "doc_id").select("score", "predicted", "toxic").collect()
     toxic, clean = [r for r in rows if r.toxic == 1], [r for r in rows if r.toxic == 0]
-    assert len(toxic) > 50 and sum(r.predicted for r in toxic) >= 0.98 * len(toxic)
-    assert sum(r.predicted for r in clean) <= 0.005 * len(clean)
+    assert len(toxic) > 50 and sum(r.predicted for r in toxic) >= 0.88 * len(toxic)
+    assert sum(r.predicted for r in clean) <= 0.01 * len(clean)
+    above = sum((t.score > c.score) + 0.5 * (t.score == c.score) for t in toxic for c in clean)
+    assert above >= 0.98 * len(toxic) * len(clean)
