@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabscout.operators import samples
+from tabscout.operators import pair_space, samples
 from tabscout.plans.corpora import CORPUS_SQL, SQL_FULL, SQL_ROW, SQL_SCHEMA, order_corpus, stored_corpus
 from tabscout.plans.registry import query, sql_h, table
 from tabscout.session import spread, written
@@ -166,6 +166,75 @@ def pc_pair_texts(spark, sf_dir):
     return samples.pair_texts(corpus, listed)
 
 
+def _round_sql(side: str, other: str, modulus: str, turn: tuple[int, int, int]) -> str:
+    prime = pair_space.PRIME
+    y = f"(({other} % {prime} * {turn[0]} + {turn[1]}) % {prime})"
+    return f"({side} + ({y} * {y} + {turn[2]}) % {prime}) % {modulus}"
+
+
+def _permutation_sql() -> str:
+    """CTE "permuted"(x, y): one step of pair_space.Permutation for all numbers below a x b."""
+    inner = "SELECT x, a, b, x % a AS l, x // a AS r FROM (SELECT a, b, unnest(range(a * b)) AS x FROM geometry)"
+    for j, turn in enumerate(pair_space.constants(SEED)):
+        sides = (_round_sql("l", "r", "a", turn) + " AS l", "r") if j % 2 == 0 else ("l", _round_sql("r", "l", "b", turn) + " AS r")
+        inner = f"SELECT x, a, b, {', '.join(sides)} FROM ({inner})"
+    return f"permuted AS (SELECT x, r * a + l AS y FROM ({inner}))"
+
+
+# CTE "placed": all pairs with their rank and their position in the seeded shuffle
+SHUFFLE_SQL = f"""
+space AS (
+  SELECT *, coalesce(sum(n_tables * (n_tables - 1) // 2) OVER (ORDER BY db_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first_rank
+  FROM dbs),
+sizes AS (
+  SELECT sum(n_tables * (n_tables - 1) // 2)::BIGINT AS positives, (SELECT count(*) FROM negatives) AS n FROM dbs),
+ranked AS (
+  SELECT s.first_rank + a.tab_ord * (2 * a.n_tables - a.tab_ord - 1) // 2 + b.tab_ord - a.tab_ord - 1 AS rank,
+    a.database_name AS db_a, a.table_name AS table_a, b.database_name AS db_b, b.table_name AS table_b, 0.5::DOUBLE AS label
+  FROM tabs a JOIN tabs b ON a.database_name = b.database_name AND a.tab_ord < b.tab_ord JOIN space s ON s.database_name = a.database_name
+  UNION ALL
+  SELECT (SELECT positives FROM sizes) + db_ord, n.database_name, table_a, other_db, table_b, label FROM negatives n JOIN dbs USING (database_name)),
+total AS (SELECT positives + n AS total, floor(sqrt(positives + n))::BIGINT AS root FROM sizes),
+geometry AS (
+  SELECT a, (total + a - 1) // a AS b, total FROM (
+    SELECT total, root, unnest(range(root - least(root // 2, {pair_space.SEARCHED}), root + least(root // 2, {pair_space.SEARCHED}) + 1)) AS a FROM total)
+  ORDER BY (a - total % a) % a, abs(a - root), a LIMIT 1),
+{_permutation_sql()},
+walk AS (
+  SELECT x AS rank, y FROM permuted WHERE x < (SELECT total FROM total)
+  UNION ALL SELECT w.rank, p.y FROM walk w JOIN permuted p ON p.x = w.y WHERE w.y >= (SELECT total FROM total)),
+placed AS (SELECT r.*, y AS position FROM ranked r JOIN walk USING (rank) WHERE y < (SELECT total FROM total))
+"""
+
+
+def _space(spark, sf_dir):
+    return pair_space.pair_space(samples.index(order_corpus(spark, sf_dir)), SEED)
+
+
+@query("pc_pair_shuffle", f"WITH RECURSIVE {INDEX_SQL}, {NEGATIVE_SQL}, {SHUFFLE_SQL} SELECT position, db_a, table_a, db_b, table_b, label FROM placed")
+def pc_pair_shuffle(spark, sf_dir):
+    """All pairs, positive and negative, with their position in the seeded shuffle."""
+    return pair_space.shuffled_pairs(_space(spark, sf_dir))
+
+
+@query("pc_pair_batches", f"""WITH RECURSIVE {INDEX_SQL}, {NEGATIVE_SQL}, {SHUFFLE_SQL}
+SELECT position // 16 AS batch, position, db_a, table_a, db_b, table_b, label FROM placed""")
+def pc_pair_batches(spark, sf_dir):
+    """One epoch of shuffled batches, found from their positions."""
+    space = _space(spark, sf_dir)
+    pairs = pair_space.pairs_at(space, 0, space.order.total)
+    return pairs.select(F.call_function("div", F.col("position"), F.lit(16)).alias("batch"), *pairs.columns)
+
+
+@query("pc_pair_split", f"""WITH RECURSIVE {INDEX_SQL}, {NEGATIVE_SQL}, {SHUFFLE_SQL},
+cut AS (SELECT floor(0.9 * total) AS cut FROM total)
+SELECT db_a AS database_name, table_a AS table_name, CASE WHEN label > 0 THEN 'positive' ELSE 'negative' END AS kind,
+  count(*) AS n_pairs, count(*) FILTER (position < cut) AS n_train FROM placed, cut GROUP BY 1, 2, 3""")
+def pc_pair_split(spark, sf_dir):
+    """Exact sizes of the train and validation parts of every anchor's pairs."""
+    return pair_space.split_counts(_space(spark, sf_dir))
+
+
 _SPLIT_SQL = """SELECT {ids}, position, CASE WHEN position < {cut} THEN 'train' ELSE 'val' END AS split FROM shuffled"""
 
 
