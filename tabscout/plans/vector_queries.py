@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from tabscout.functions.vectors import normalise
-from tabscout.operators import encode, prefixes, ranking, samples, search
+from tabscout.operators import encode, prefixes, projections, ranking, samples, search
 from tabscout.plans.corpora import CORPUS_SQL, DOCUMENTS_SQL, document_corpus, order_corpus
 from tabscout.plans.registry import query, sql_h, table
 from tabscout.session import spread, written
@@ -161,7 +161,7 @@ def topk_text(spark, sf_dir):
     )
     texts = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     docs = encode.encode_hashed(texts).select(F.col("doc_id").alias("table_id"), "embedding")
-    return search.exact_topk(written(queries, "queries"), docs, 10)
+    return search.exact_topk(written(queries, "queries"), written(docs, "vectors"), 10)
 
 
 _PIVOTS, _PROBES = 16, 4
@@ -177,17 +177,52 @@ found AS (SELECT query_id, table_id, score, row_number() OVER (PARTITION BY quer
 """
 
 
-def _approx(spark, sf_dir):
+@query("topk_ann_cells", _ANN_SQL + "SELECT query_id, rank, table_id, score FROM found")
+def topk_ann_cells(spark, sf_dir):
+    """By probing a fixed number of cells."""
     vectors = model_vectors(spark, sf_dir)
     return search.approx_topk(as_queries(vectors), vectors, 10, _PROBES, _PIVOTS, exclude_self=True)
 
 
-@query("topk_ann", _ANN_SQL + "SELECT query_id, rank, table_id, score FROM found")
+_TABLES = projections.TABLES
+_PROJECTED_SQL = f"""WITH {sql_rankings(10, ('full',))},
+sized AS (SELECT CASE WHEN count(*) > {projections.ROWS_PER_CODE} THEN
+  least({projections.MOST_BITS}, greatest(3, floor(log2(count(*) / {projections.ROWS_PER_CODE})))) ELSE 3 END::BIGINT AS bits FROM unitv),
+plane_ids AS (
+  SELECT t, p, d, bits FROM sized, (SELECT unnest(range({_TABLES})) AS t), (SELECT unnest(range({projections.MOST_BITS})) AS p), (SELECT unnest(range({DIM})) AS d)
+  WHERE p < bits),
+planes AS (SELECT t, p, list(2.0 * ({sql_h("'42'", 't', 'p', 'd')} % 2) - 1 ORDER BY d) AS s FROM plane_ids GROUP BY 1, 2),
+margins AS (
+  SELECT vec_id, t, list(round(list_dot_product(e, s), 6) + 0.0 ORDER BY p) AS m FROM unitv, planes GROUP BY 1, 2),
+codes AS (
+  SELECT vec_id, t, m, list_sum(list_transform(range(len(m)), lambda i: CASE WHEN m[i + 1] >= 0 THEN 1 << i ELSE 0 END))::BIGINT AS code FROM margins),
+costs AS (
+  SELECT vec_id, t, c, round(list_sum(list_transform(range(len(m)), lambda i: CASE WHEN (c >> i) & 1 <> (code >> i) & 1 THEN m[i + 1] * m[i + 1] ELSE 0 END)), 9) AS cost
+  FROM codes, sized, (SELECT unnest(range(1 << {projections.PROBED_BITS})) AS c) WHERE c < (1 << bits)),
+places AS (SELECT vec_id, t, c, row_number() OVER (PARTITION BY vec_id, t ORDER BY cost, c) AS place FROM costs),
+near AS (
+  SELECT p.vec_id AS query_id, x.vec_id AS table_id, min(place) AS place FROM places p JOIN codes x ON x.t = p.t AND x.code = p.c GROUP BY 1, 2),
+learned AS (SELECT vec_id AS query_id FROM unitv ORDER BY {sql_h('vec_id')}, vec_id LIMIT {projections.SAMPLE}),
+needed AS (SELECT list_sort(list(place)) AS all_places FROM rankings r JOIN learned USING (query_id) JOIN near USING (query_id, table_id)),
+probes AS (SELECT all_places[ceil(round({projections.RECALL} * len(all_places), 6))::BIGINT] AS n FROM needed),
+found AS (
+  SELECT query_id, table_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, table_id)::INTEGER AS rank
+  FROM scored JOIN near USING (query_id, table_id), probes WHERE place <= n QUALIFY rank <= 10)
+"""
+
+
+def _approx(spark, sf_dir):
+    vectors = model_vectors(spark, sf_dir)
+    return projections.projection_topk(as_queries(vectors), vectors, 10, exclude_self=True)
+
+
+@query("topk_ann", _PROJECTED_SQL + "SELECT query_id, rank, table_id, score FROM found")
 def topk_ann(spark, sf_dir):
+    """Through random-projection tables, with as many probes as a recall of 0.95 takes."""
     return _approx(spark, sf_dir)
 
 
-@query("topk_ann_recall", _ANN_SQL + """
+@query("topk_ann_recall", _PROJECTED_SQL + """
 SELECT query_id, count(f.table_id) AS found, count(*) AS wanted, round(count(f.table_id) / count(*), 6) AS recall
 FROM rankings r LEFT JOIN found f USING (query_id, table_id) GROUP BY 1""")
 def topk_ann_recall(spark, sf_dir):
