@@ -26,6 +26,7 @@ DIGITS = 6
 SLACK = 2e-6  # covers the rounding of scores
 # near 1 the arc cosine magnifies a rounding of 1e-6 to about sqrt(2e-6)
 ANGLE_SLACK = 3e-3
+MOST_PIVOTS = 1024  # of a flat set of cells; larger corpora take a tree of pivots
 _CHUNK = 2_000_000  # scores held at once
 _ARROW = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}  # types of ids
 
@@ -272,8 +273,8 @@ def _cells(corpus: DataFrame, pivots: np.ndarray, block_rows: int):
 
 
 def cells_for(rows: int) -> int:
-    """Pivots for a corpus of that size: cells of some 16,000 rows, 16 to 1024 of them."""
-    return min(1024, max(16, rows // 16384))
+    """Pivots for a corpus of that size: cells of some 16,000 rows, 16 to MOST_PIVOTS of them."""
+    return min(MOST_PIVOTS, max(16, rows // 16384))
 
 
 def cell_topk(
@@ -360,6 +361,10 @@ def exact_topk(
     most = broadcast_values // max(1, one[0] if one else 1)
     if queries.select("query_id").limit(most + 1).count() <= most:
         return scan_topk(queries, corpus, k, exclude_self)
+    if not cells and cells_for(corpus.count()) >= MOST_PIVOTS:
+        from tabscout.operators.pivot_tree import tree_topk  # builds on this module
+
+        return tree_topk(queries, corpus, k, exclude_self)
     return cell_topk(queries, corpus, k, exclude_self, **cells)
 
 

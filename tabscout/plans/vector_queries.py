@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from tabscout.functions.vectors import normalise
-from tabscout.operators import encode, prefixes, projections, ranking, samples, search
+from tabscout.operators import encode, pivot_tree, prefixes, projections, ranking, samples, search
 from tabscout.plans.corpora import CORPUS_SQL, DOCUMENTS_SQL, document_corpus, order_corpus
 from tabscout.plans.registry import query, sql_h, table
 from tabscout.session import spread, written
@@ -148,6 +148,13 @@ def topk_cosine_cells(spark, sf_dir):
     return search.cell_topk(as_queries(vectors), vectors, 10, exclude_self=True, n_pivots=16)
 
 
+@query("topk_cosine_tree", _TOPK)
+def topk_cosine_tree(spark, sf_dir):
+    """The way taken for corpora beyond a flat set of cells."""
+    vectors = model_vectors(spark, sf_dir)
+    return pivot_tree.tree_topk(as_queries(vectors), vectors, 10, exclude_self=True, n_cells=64)
+
+
 @query("topk_text", f"""WITH src AS (SELECT conv_id * 1000 + turn AS query_id, text FROM conversations),
 {sql_encode('src', 'query_id', 'text', 'qv')}, {sql_encode('documents', 'doc_id', 'text', 'dv')},
 scored AS (SELECT query_id, doc_id AS table_id, round(list_dot_product(a.embedding, b.embedding), 6) + 0.0 AS score FROM qv a, dv b),
