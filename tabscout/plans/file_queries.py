@@ -12,8 +12,8 @@ from tabscout.plans import file_fixtures, index_job
 from tabscout.plans.corpora import CORPUS_SQL, DOCUMENTS_SQL, SQL_VALUES, document_corpus, order_corpus
 from tabscout.plans.registry import query, sql_h, table
 from tabscout.plans.vector_queries import sql_encode
-from tabscout.session import scratch_path
-from tabscout.sources import archive, files, folders, queries as query_sets, store, tables
+from tabscout.session import scratch_path, written
+from tabscout.sources import archive, files, folders, queries as query_sets, store, tables, upserts
 from tabscout.streaming.vectors import ingest_vectors
 
 _NATION_SQL = f"""
@@ -225,6 +225,17 @@ def incremental_upsert(spark, sf_dir):
     return _shown(store.read_vectors(spark, path))
 
 
+@query("bucketed_upsert", f"WITH {_POINTS_SQL} SELECT point_id, db_name, table_name, num_rows, e1, e64 FROM points")
+def bucketed_upsert(spark, sf_dir):
+    """Two overlapping appends, the second one committed while the first is still being written."""
+    docs = document_corpus(spark, sf_dir)
+    path = scratch_path(spark, "vectors")
+    made = written(index_job.points(docs, "documents", "hashed"), "points")
+    english = made.join(docs.where("lang = 'en'").select(F.col("table_id").alias("table_name")), "table_name", "left_semi")
+    upserts.append(made, path, before_commit=lambda: upserts.append(english, path))
+    return _shown(upserts.read(spark, path))
+
+
 @query("stream_upsert", f"WITH {_POINTS_SQL} SELECT point_id, db_name, table_name, num_rows, e1, e64 FROM points")
 def stream_upsert(spark, sf_dir):
     """The same through a file stream, run twice over overlapping files."""
