@@ -1,6 +1,7 @@
 """From table documents to a stored vector collection and its run record."""
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -9,7 +10,8 @@ from tabscout.functions import views
 from tabscout.functions.hashing import point_id
 from tabscout.functions.vectors import hash_encode
 from tabscout.operators import runs
-from tabscout.sources.store import last_by_id, overwrite_collections
+from tabscout.session import written
+from tabscout.sources.store import last_by_id, overwrite_collections, read_vectors
 
 ROW_LIMIT = 3
 
@@ -104,16 +106,35 @@ def run_record(documents: DataFrame, stored: DataFrame) -> DataFrame:
     )
 
 
-def build_index(documents: DataFrame, dataset: str, model: str, path: str, encoder=hash_encode) -> DataFrame:
-    """Write the collection and return its finished run record, timed by the job itself."""
-    import time
+def stored_bytes(spark, path: str) -> int:
+    """Size of all files below a folder."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
 
-    from tabscout.sources.store import read_vectors
 
+def build_index(documents: DataFrame, dataset: str, model: str, path: str, encoder=hash_encode, model_path: str | None = None) -> DataFrame:
+    """Write the collection and return its finished run record, timed by the job itself.
+
+    Encoding ends when the points are stored once in the shared folder; indexing lays them out as the
+    collection.
+    """
+    spark = documents.sparkSession
+    stamp = lambda at: time.strftime("%Y-%m-%d %H:%M:%S", time.localtime(at))
     started = time.time()
-    overwrite_collections(points(documents, dataset, model, encoder), path)
-    seconds = time.time() - started
-    stored = read_vectors(documents.sparkSession, path).filter(
-        (F.col("dataset") == dataset) & (F.col("model") == model)
-    )
-    return runs.finalise(run_record(documents, stored).withColumn("total_time_seconds", F.lit(round(seconds, 2))))
+    made = written(points(documents, dataset, model, encoder), "points")
+    encoded = time.time()
+    overwrite_collections(made, path)
+    ended = time.time()
+    stored = read_vectors(spark, path).filter((F.col("dataset") == dataset) & (F.col("model") == model))
+    folder = f"{path}/dataset={dataset}/model={model}"
+    size = stored_bytes(spark, folder) if not stored.isEmpty() else 0
+    known = {
+        "encoding_inference_time_seconds": round(encoded - started, 2), "indexing_time_seconds": round(ended - encoded, 2),
+        "total_time_seconds": round(ended - started, 2), "index_size_bytes": size, "index_size_mb": round(size / runs.MB, 4),
+        "timestamp_start": stamp(started), "timestamp_end": stamp(ended), "model_path": model_path or "unknown",
+        "gpu_available": False, "device": "CPU",
+    }
+    record = run_record(documents, stored)
+    for name, value in known.items():
+        record = record.withColumn(name, F.lit(value))
+    return runs.finalise(record)

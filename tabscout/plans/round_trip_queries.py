@@ -3,7 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from tabscout.plans import file_fixtures, index_job
+from tabscout.functions.vectors import hash_encode
+from tabscout.plans import file_fixtures, index_job, pending_runs
 from tabscout.plans.corpora import CORPUS_SQL, DOCUMENTS_SQL, ROW_LIMIT, SQL_VALUES, document_corpus, first_lines
 from tabscout.plans.registry import query, table
 from tabscout.plans.run_queries import RUNS_SQL, run_records
@@ -206,3 +207,49 @@ def run_totals_file(spark, sf_dir):
     run_files.write_run_json(run_records(spark, sf_dir), path)
     return run_files.read_run_metrics(spark, path).groupBy("dataset", "model").agg(
         F.sum("embeddings_count").alias("embeddings"), F.count(F.lit(1)).alias("runs"))
+
+
+# --- pending combinations ---------------------------------------------------------------------
+
+_DIMENSIONS = {"hashed": 64, "hashed_half": 32}
+_COMBOS_SQL = f"""WITH {DOCUMENTS_SQL}, grid AS (
+  SELECT d.dataset, m.model, m.dim FROM (SELECT DISTINCT 'docs-' || lang AS dataset FROM docs) d,
+    (VALUES {', '.join(f"('{m}', {d})" for m, d in _DIMENSIONS.items())}, ('broken', 0), ('left_out', 0)) m(model, dim)),
+combos AS (
+  SELECT g.dataset, g.model, CASE g.model WHEN 'left_out' THEN 'skipped model' WHEN 'broken' THEN 'failed' ELSE 'done' END AS state,
+    CASE g.model WHEN 'left_out' THEN 0 WHEN 'broken' THEN 2 ELSE 1 END AS attempts,
+    CASE WHEN dim > 0 THEN count(CASE WHEN len("table") > 1 THEN 1 END) END AS embeddings_count,
+    CASE WHEN dim > 0 THEN count(CASE WHEN len("table") <= 1 THEN 1 END) END AS skipped_tables,
+    CASE WHEN dim > 0 THEN dim END AS embedding_dimension
+  FROM grid g JOIN docs ON g.dataset = 'docs-' || lang GROUP BY g.dataset, g.model, dim)
+"""
+
+
+def _combinations(spark, sf_dir):
+    """Two jobs over all languages and models; one model always fails, one is skipped."""
+    docs = document_corpus(spark, sf_dir)
+    languages = sorted(r.lang for r in docs.select("lang").distinct().collect())  # a handful of languages
+    sets = {f"docs-{lang}": docs.where(F.col("lang") == lang) for lang in languages}
+    models = {name: (lambda text, d=dim: hash_encode(text, d)) for name, dim in _DIMENSIONS.items()}
+    models["broken"] = lambda text: F.array(F.raise_error(F.concat(F.lit("no encoder for "), F.left(text, F.lit(1)))).cast("float"))
+    models["left_out"] = hash_encode
+    ledger, path = scratch_path(spark, "ledger"), scratch_path(spark, "vectors")
+    for job in ("first", "second"):
+        pending_runs.run_pending(spark, ledger, sets, models, path, skip=["left_out"], job=job)
+    return pending_runs.combinations(spark, ledger, list(sets), list(models), ["left_out"])
+
+
+@query("pending_combinations", _COMBOS_SQL + "SELECT * FROM combos")
+def pending_combinations(spark, sf_dir):
+    """The state of every combination after two jobs: the second one only tries again what failed."""
+    return _combinations(spark, sf_dir).drop("reason")
+
+
+@query("pipeline_summary", _COMBOS_SQL + """
+SELECT count(*) AS total_combinations, count(*) FILTER (state = 'done') AS completed, count(*) FILTER (state <> 'done') AS failed,
+  sum(embeddings_count)::BIGINT AS embeddings FROM combos WHERE state <> 'skipped model'""")
+def pipeline_summary(spark, sf_dir):
+    """The summary of all combinations, written as a file and read back."""
+    path = scratch_path(spark, "summary")
+    pending_runs.write_summary(_combinations(spark, sf_dir), path)
+    return spark.read.json(path).select("total_combinations", "completed", "failed", "embeddings")
