@@ -8,7 +8,7 @@
    put in seeded order; a shard is cut into blocks of equal length, within one word.
 3. Quotas. Blocks go to sources by Sainte-Lague: the highest quotients target / 1, 3, 5 ... win. A
    source's blocks go to its shards the same way, through a tree of at most ``fan_out`` children, so no
-   window sees more than one node's children.
+   window sees more than one node's children. Nobody gets more than ``most`` times its blocks.
 4. Selection. A shard whose quota is n times its blocks and r more is taken n times, and r blocks
    once more: those that follow a seeded block, around the end of the shard.
 
@@ -44,28 +44,34 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.length(F.regexp_replace(F.concat(F.lit("x "), text), pattern, "x")) - 1, F.lit(0)).cast("bigint")
 
 
-def apportion(df: DataFrame, parent: Sequence[str], child: str, weight: str, seats: str, quota: str) -> DataFrame:
+def apportion(df: DataFrame, parent: Sequence[str], child: str, weight: str, seats: str, quota: str, limit: str | None = None) -> DataFrame:
     """Sainte-Lague: ``seats`` of each parent go to its children by the highest quotients of weight.
 
-    Rounding weight * seats / total gives most of them; what is over or short (at most half the
-    children) is settled among the quotients next in line, of which each child offers its share.
+    Rounding weight * seats / total gives most of them; what is over or short (about half the
+    children at most) is settled among the quotients next in line, of which each child offers its share.
+    No child gets more seats than the column ``limit`` says.
     """
     own = Window.partitionBy(*parent)
+    most = F.lit(1 << 62) if limit is None else F.col(limit)
     total, n = F.sum(weight).over(own), F.count(F.lit(1)).over(own)
-    first = df.withColumn("_base", F.when(total > 0, F.floor(F.col(weight) * F.col(seats) / total + 0.5)).otherwise(0).cast("bigint"))
-    first = first.withColumn("_short", F.col(seats) - F.sum("_base").over(own)).withColumn(
-        "_offers", F.when((F.col("_short") != 0) & (total > 0), F.ceil(F.col(weight) / total * 1.5 * n) + 2).otherwise(1))
-    offered = first.withColumn("_j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_offers") - 1)))
+    first = df.withColumn("_base", F.least(most, F.when(total > 0, F.floor(F.col(weight) * F.col(seats) / total + 0.5)).otherwise(0).cast("bigint")))
+    first = first.withColumn("_short", F.col(seats) - F.sum("_base").over(own)).withColumn("_room", most - F.col("_base"))
     up = F.col("_short") > 0
+    open_ = F.when(up & (F.col("_room") <= 0), 0.0).otherwise(F.col(weight))
+    share = F.ceil(open_ / F.sum(open_).over(own) * 1.5 * n) + 2
+    first = first.withColumn("_offers", F.when((F.col("_short") != 0) & (F.sum(open_).over(own) > 0), F.when(
+        up, F.greatest(F.least(share, F.col("_room")), F.lit(1))).otherwise(share)).otherwise(1).cast("bigint"))
+    offered = first.withColumn("_j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_offers") - 1)))
     seat = F.when(up, F.col("_base") + F.col("_j")).otherwise(F.col("_base") - 1 - F.col("_j"))
     quotient = F.col(weight) / (2 * seat + 1)
     order = Window.partitionBy(*parent).orderBy(
-        F.col("_seat") < 0, F.when(up, -F.col("_quotient")).otherwise(F.col("_quotient")), F.col(child))
+        ~F.col("_free"), F.when(up, -F.col("_quotient")).otherwise(F.col("_quotient")), F.col(child))
     ranked = (
         offered.withColumn("_seat", seat).withColumn("_quotient", quotient)
+        .withColumn("_free", (F.col("_seat") >= 0) & (F.col("_seat") < F.when(up, most).otherwise(1 << 62)))
         .withColumn("_rank", F.row_number().over(order))
     )
-    moved = F.sum(F.when((F.col("_rank") <= F.abs("_short")) & (F.col("_seat") >= 0), 1).otherwise(0))
+    moved = F.sum(F.when((F.col("_rank") <= F.abs("_short")) & F.col("_free"), 1).otherwise(0))
     return ranked.groupBy(*df.columns).agg((F.first("_base") + F.signum(F.first("_short")) * moved).cast("bigint").alias(quota))
 
 
@@ -101,6 +107,7 @@ def mix(
     word ranges ``cuts`` (array of begin, end). ``carry`` names columns of the input to keep as ``_carried``."""
     rows = docs.select(
         F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"),
+        h(F.col("text").cast("string")).alias("_digest"),
         F.struct(*([F.col(c) for c in carry] or [F.lit(0).alias("none")])).alias("_carried"))
     if not carry:
         rows = written(rows, "sizes")
@@ -112,7 +119,7 @@ def mix(
     known = sources.withColumn("_key", named).drop("source", "docs")
     placed = (
         rows.withColumn("_key", named).join(known, "_key")
-        .withColumn("_order", h(seed, F.col("doc_id"), F.col("_key")))
+        .withColumn("_order", h(seed, F.col("doc_id"), F.col("_key"), F.col("_digest")))  # rows that share an id spread as well
         .withColumn("shard", F.pmod(F.col("_order"), F.col("shards")))
     )
     shards = (
@@ -124,18 +131,19 @@ def mix(
     # Sources: their targets in blocks, then whole blocks that add up to the whole.
     weighed = (
         shards.groupBy("_key").agg(F.sum("blocks").alias("blocks")).join(known, "_key")
-        .select("_key", (F.col("target") * F.col("blocks") / F.col("source_size")).alias("weight"))
+        .select("_key", (F.col("target") * F.col("blocks") / F.col("source_size")).alias("weight"), (MOST * F.col("blocks")).alias("limit"))
         .withColumn("_all", F.lit(0))
         .withColumn("seats", F.floor(F.sum("weight").over(Window.partitionBy("_all")) + 0.5).cast("bigint"))
     )
-    quotas = apportion(weighed, ["_all"], "_key", "weight", "seats", "quota").select("_key", F.lit(0).cast("bigint").alias("node"), "quota")
+    quotas = apportion(weighed, ["_all"], "_key", "weight", "seats", "quota", "limit").select("_key", F.lit(0).cast("bigint").alias("node"), "quota")
 
     most_shards = sources.agg(F.max("shards")).first()[0] or 1
     for level in range(_levels(most_shards, fan_out) - 1, -1, -1):
         width = fan_out ** level
         children = shards.groupBy("_key", F.floor(F.col("shard") / width).cast("bigint").alias("child")).agg(F.sum("blocks").alias("weight"))
         dealt = children.withColumn("node", F.floor(F.col("child") / fan_out).cast("bigint")).join(quotas, ["_key", "node"])
-        quotas = apportion(dealt.withColumnRenamed("quota", "seats"), ["_key", "node"], "child", "weight", "seats", "quota").select(
+        dealt = dealt.withColumnRenamed("quota", "seats").withColumn("limit", MOST * F.col("weight"))
+        quotas = apportion(dealt, ["_key", "node"], "child", "weight", "seats", "quota", "limit").select(
             "_key", F.col("child").alias("node"), "quota")
     plan = written(
         shards.join(quotas.withColumnRenamed("node", "shard"), ["_key", "shard"])

@@ -8,21 +8,27 @@ _LOWER = "translate(coalesce({x}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghij
 
 
 def _apportion(name: str, source: str, parent: str, child: str) -> str:
-    """CTEs ending in ``name``: Sainte-Lague over source(parent, child, weight, seats) as quota."""
+    """CTEs ending in ``name``: Sainte-Lague over source(parent, child, weight, seats, cap) as quota."""
     return f"""
 {name}_base AS (
   SELECT *, sum(weight) OVER p AS total, count(*) OVER p AS n,
-    CASE WHEN sum(weight) OVER p > 0 THEN floor(weight * seats / sum(weight) OVER p + 0.5) ELSE 0 END::BIGINT AS base
+    least(cap, CASE WHEN sum(weight) OVER p > 0 THEN floor(weight * seats / sum(weight) OVER p + 0.5) ELSE 0 END::BIGINT) AS base
   FROM {source} WINDOW p AS (PARTITION BY {parent})),
 {name}_short AS (SELECT *, (seats - sum(base) OVER (PARTITION BY {parent}))::BIGINT AS short FROM {name}_base),
+{name}_room AS (
+  SELECT *, sum(eligible) OVER (PARTITION BY {parent}) AS open_weight
+  FROM (SELECT *, CASE WHEN short > 0 AND cap <= base THEN 0.0 ELSE weight END::DOUBLE AS eligible FROM {name}_short)),
+{name}_shared AS (SELECT *, ceil(eligible / nullif(open_weight, 0) * 1.5 * n)::BIGINT + 2 AS share FROM {name}_room),
 {name}_offer AS (
   SELECT *, CASE WHEN short > 0 THEN base + j ELSE base - 1 - j END AS seat
-  FROM (SELECT *, unnest(range(CASE WHEN short <> 0 AND total > 0 THEN ceil(weight / total * 1.5 * n)::BIGINT + 2 ELSE 1 END)) AS j FROM {name}_short)),
+  FROM (SELECT *, unnest(range(CASE WHEN short <> 0 AND open_weight > 0 THEN
+    CASE WHEN short > 0 THEN greatest(least(share, cap - base), 1) ELSE share END ELSE 1 END)) AS j FROM {name}_shared)),
+{name}_free AS (SELECT *, seat >= 0 AND (short <= 0 OR seat < cap) AS free FROM {name}_offer),
 {name}_rank AS (
-  SELECT *, row_number() OVER (PARTITION BY {parent} ORDER BY seat < 0,
-    CASE WHEN short > 0 THEN -(weight / (2 * seat + 1)) ELSE weight / (2 * seat + 1) END, {child}) AS place FROM {name}_offer),
+  SELECT *, row_number() OVER (PARTITION BY {parent} ORDER BY NOT free,
+    CASE WHEN short > 0 THEN -(weight / (2 * seat + 1)) ELSE weight / (2 * seat + 1) END, {child}) AS place FROM {name}_free),
 {name} AS (
-  SELECT {parent}, {child}, (any_value(base) + sign(any_value(short)) * count(CASE WHEN place <= abs(short) AND seat >= 0 THEN 1 END))::BIGINT AS quota
+  SELECT {parent}, {child}, (any_value(base) + sign(any_value(short)) * count(CASE WHEN place <= abs(short) AND free THEN 1 END))::BIGINT AS quota
   FROM {name}_rank GROUP BY {parent}, {child})"""
 
 
@@ -30,7 +36,7 @@ _SEED = f"'{mixing.SEED}'"
 _WEIGHTS = ", ".join(map(str, mixing.WEIGHTS))
 _UP, _DOWN = mixing.SHARE
 MIXING = f"""WITH sized AS (
-  SELECT doc_id, source, coalesce('=' || source, '-') AS key, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size
+  SELECT doc_id, source, coalesce('=' || source, '-') AS key, {sql_h('text')} AS digest, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size
   FROM documents),
 sources AS (
   SELECT source, key, sum(size)::BIGINT AS source_size, count(*) AS docs,
@@ -47,13 +53,13 @@ targets AS (
   FROM filled LEFT JOIN opened ON true),
 placed AS (
   SELECT doc_id, key, size, source_size, target, ord, ord % shards AS shard
-  FROM (SELECT *, {sql_h(_SEED, 'doc_id', 'key')} AS ord FROM sized) JOIN targets USING (key)),
+  FROM (SELECT *, {sql_h(_SEED, 'doc_id', 'key', 'digest')} AS ord FROM sized) JOIN targets USING (key)),
 shards AS (SELECT key, shard, sum(size)::BIGINT AS words, ceil(sum(size) / {mixing.BLOCK_WORDS})::BIGINT AS blocks
   FROM placed GROUP BY 1, 2 HAVING sum(size) > 0),
-weighed AS (SELECT 0 AS everything, key, target * sum(blocks) / source_size AS weight FROM shards JOIN targets USING (key) GROUP BY key, target, source_size),
+weighed AS (SELECT 0 AS everything, key, target * sum(blocks) / source_size AS weight, {mixing.MOST} * sum(blocks)::BIGINT AS cap FROM shards JOIN targets USING (key) GROUP BY key, target, source_size),
 seated AS (SELECT *, floor(sum(weight) OVER () + 0.5)::BIGINT AS seats FROM weighed),
 {_apportion('by_source', 'seated', 'everything', 'key')},
-shard_seats AS (SELECT key, shard, blocks AS weight, quota AS seats FROM shards JOIN by_source USING (key)),
+shard_seats AS (SELECT key, shard, blocks AS weight, quota AS seats, {mixing.MOST} * blocks AS cap FROM shards JOIN by_source USING (key)),
 {_apportion('by_shard', 'shard_seats', 'key', 'shard')},
 plan AS (
   SELECT key, shard, words, blocks, quota // blocks AS times, quota % blocks AS more, {sql_h(_SEED, "'first'", 'key', 'shard')} % blocks AS first_block

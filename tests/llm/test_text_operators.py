@@ -287,6 +287,35 @@ def test_sainte_lague(spark):
     assert got == want
 
 
+def test_no_document_comes_more_than_twice(spark):
+    sizes = [90, 66, 40, 68, 99]  # blocks, each one document
+    rows = [(i, "w " * 64, f"s{s}") for i, s in enumerate(s for s, n in enumerate(sizes) for _ in range(n))]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id int, text string, source string")).collect()
+    assert len(got) == sum(sizes) and max(r.taken for r in got) <= 2 * 64
+    # many mixes at once: sources of random sizes with the targets that the contract gives them
+    rng = np.random.default_rng(8)
+    asked, total = [], {}
+    for case in range(20000):
+        blocks = {f"s{s}": int(b) for s, b in enumerate(rng.integers(1, 120, rng.integers(3, 11)))}
+        target = by_hand_targets(blocks)
+        total[case] = math.floor(sum(target.values()) + 0.5)
+        asked += [(case, s, float(target[s]), total[case], 2 * b) for s, b in blocks.items()]
+    df = spark.createDataFrame(asked, "parent int, child string, weight double, seats bigint, cap bigint")
+    over = mixing.apportion(df, ["parent"], "child", "weight", "seats", "quota", "cap")
+    sums = over.groupBy("parent").agg(F.sum("quota").alias("n"), F.max(F.col("quota") - F.col("cap")).alias("above"),
+                                      F.max(F.abs(F.col("quota") - F.col("weight"))).alias("off")).collect()
+    assert max(r.above for r in sums) <= 0 and all(r.n == total[r.parent] for r in sums) and max(r.off for r in sums) < 1.6
+
+
+def test_documents_without_id_spread_over_shards(spark):
+    rows = [(None, f"text number {i} of many", "a") for i in range(600)] + [(i, "other words here", "a") for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, source string")
+    keyed = df.select(mixing.h(mixing.SEED, F.col("doc_id"), F.lit("=a"), mixing.h(F.col("text"))).alias("order"), "doc_id")
+    shards = keyed.where("doc_id is null").groupBy(F.pmod("order", F.lit(8))).count().collect()
+    assert len(shards) == 8 and max(r["count"] for r in shards) < 120
+    assert sum(r.taken for r in mixing.mix(df, block_words=4, shard_words=500).collect()) > 0
+
+
 def test_mixing_nothing(empty, docs):
     assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
     assert {r.taken for r in mixing.mix(docs.where("size(split(text, '[^ ]')) = 1 or text is null")).collect()} <= {0}
