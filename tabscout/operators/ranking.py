@@ -120,6 +120,31 @@ def evaluate(
     return averages(scored, metrics, keys)
 
 
+_BASIC = ("recall_1", "recall_5", "recall_10", "rr_10", "ndcg_10")
+# what is reported for a dataset, by the kind of its queries
+KIND_METRICS = {
+    "question": _BASIC,
+    "statement": (*_BASIC, "precision_5", "f1_5"),
+    "schema question": (*_BASIC, "containment_1", "containment_5", "containment_10"),
+}
+
+
+def evaluate_kinds(judged: DataFrame, queries: DataFrame, metrics_of: dict[str, Sequence[str]] = KIND_METRICS) -> DataFrame:
+    """(dataset, kind, metrics): several datasets in one pass, each with the metrics of its kind as a map.
+
+    Both inputs carry ``dataset`` and ``kind``.
+    """
+    keys = ["dataset", "kind"]
+    every = sorted({m for metrics in metrics_of.values() for m in metrics})
+    means = averages(per_query(judged, queries, keys, ks=(1, 5, 10), ndcg_ks=(10,), mrr_k=10, ap=False), every, keys)
+    shown = {m: _NAMES.get(m, m.replace("rr_", "mrr_") if m.startswith("rr_") else m) for m in every}
+    pairs = lambda metrics: F.create_map(*[x for m in sorted(metrics) for x in (F.lit(shown[m]), F.col(shown[m]))])
+    chosen = F.lit(None).cast("map<string,double>")
+    for kind, metrics in metrics_of.items():
+        chosen = F.when(F.col("kind") == kind, pairs(metrics)).otherwise(chosen)
+    return means.select(*keys, chosen.alias("metrics"))
+
+
 # model-name keywords of the architecture report (fixed values)
 _DECODERS = "qwen|mistral|decoder|e5-|bge"
 

@@ -102,15 +102,33 @@ def model_averages(runs: DataFrame) -> DataFrame:
         F.round(F.avg(speed), 4).alias("avg_throughput"),
         F.round(F.try_divide(F.sum(speed * n), F.sum(n)), 4).alias("weighted_throughput"),
         F.round(F.avg("avg_time_per_embedding_ms"), 4).alias("avg_time_ms"),
+        F.round(F.avg("storage_per_1k_embeddings_mb"), 4).alias("avg_storage"),
     )
 
 
-def nested(runs: DataFrame, outer: str, inner: str) -> DataFrame:
-    """Per ``outer`` value one ordered list of (inner, embeddings, throughput of its latest run)."""
+# name in a nested summary -> column of the run record (fixed values)
+NESTED = {
+    "throughput": "throughput_embeddings_per_sec", "storage_efficiency": "storage_per_1k_embeddings_mb",
+    "encoding_time": "encoding_inference_time_seconds", "total_time": "total_time_seconds", "embeddings": "embeddings_count",
+}
+
+
+def nested(runs: DataFrame) -> DataFrame:
+    """(level, name, entries): for every dataset its models, for every model its datasets, in one pass.
+
+    ``entries`` maps the other name to the five measures of the latest run of both.
+    """
     latest = latest_runs(runs)
-    return latest.groupBy(outer).agg(F.array_sort(F.collect_list(F.struct(
-        inner, "embeddings_count", "throughput_embeddings_per_sec"
-    ))).alias("entries"))
+    measures = F.struct(*[F.col(column).alias(name) for name, column in NESTED.items()]).alias("measures")
+    sides = latest.select("dataset", "model", measures)
+    grouped = sides.groupingSets([["dataset"], ["model"]], "dataset", "model").agg(
+        F.grouping("dataset").alias("_of_model"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("model", "measures")))).alias("_models"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("dataset", "measures")))).alias("_datasets"))
+    by_model = F.col("_of_model") == 1
+    return grouped.select(
+        F.when(by_model, "model").otherwise("dataset").alias("level"), F.coalesce("dataset", "model").alias("name"),
+        F.when(by_model, F.col("_datasets")).otherwise(F.col("_models")).alias("entries"))
 
 
 def latest_runs(runs: DataFrame, keys: Sequence[str] = ("dataset", "model"), at: str = "timestamp_end") -> DataFrame:

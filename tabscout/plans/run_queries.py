@@ -136,7 +136,7 @@ def run_rollup(spark, sf_dir):
 SELECT model, count(DISTINCT dataset) AS datasets, sum(embeddings_count)::BIGINT AS total_embeddings,
   round(avg(throughput_embeddings_per_sec), 4) AS avg_throughput,
   round(sum(throughput_embeddings_per_sec * embeddings_count) / sum(embeddings_count), 4) AS weighted_throughput,
-  round(avg(avg_time_per_embedding_ms), 4) AS avg_time_ms FROM runs GROUP BY model""")
+  round(avg(avg_time_per_embedding_ms), 4) AS avg_time_ms, round(avg(storage_per_1k_embeddings_mb), 4) AS avg_storage FROM runs GROUP BY model""")
 def model_averages(spark, sf_dir):
     return runs.model_averages(run_records(spark, sf_dir))
 
@@ -147,13 +147,12 @@ _LATEST_SQL = f"""{RUNS_SQL}, latest AS (
 
 
 def _register_nested(name: str, outer: str, inner: str) -> None:
-    @query(name, f"""WITH {_LATEST_SQL} SELECT {outer},
-      string_agg({inner} || '=' || embeddings_count, ',' ORDER BY {inner}) AS entries FROM latest GROUP BY 1""")
+    measures = ", ".join(f"{column} AS {shown}" for shown, column in runs.NESTED.items())
+
+    @query(name, f"WITH {_LATEST_SQL} SELECT {outer}, {inner}, {measures} FROM latest")
     def run(spark, sf_dir):
-        out = runs.nested(run_records(spark, sf_dir), outer, inner)
-        return out.select(outer, F.array_join(F.transform(
-            "entries", lambda e: F.concat(e[inner], F.lit("="), e["embeddings_count"].cast("string"))
-        ), ",").alias("entries"))
+        found = runs.nested(run_records(spark, sf_dir)).where(F.col("level") == outer)
+        return found.select(F.col("name").alias(outer), F.explode("entries").alias(inner, "m")).select(outer, inner, "m.*")
 
 
 _register_nested("runs_by_dataset", "dataset", "model")

@@ -554,3 +554,58 @@ def evaluation_summary(spark, sf_dir):
         judged, counted, ["ap", "rr_10", "ndcg_10", "precision_5", "recall_5", "recall_10", "containment_10"],
         keys=["dataset"],
     )
+
+
+_KIND_SQL = f"""WITH {sql_rankings(10, ('full', 'half'))},
+orders_ranked AS (WITH {_VALUE_SQL} SELECT query_id, rank, table_id FROM ranked),
+orders_gold AS (WITH {_VALUE_SQL} SELECT query_id, table_id FROM db_qrels),
+r AS (
+  SELECT 'vectors' AS dataset, query_id::VARCHAR AS query_id, rank, table_id::VARCHAR AS table_id FROM rankings WHERE model = 'full'
+  UNION ALL SELECT 'halves', query_id::VARCHAR, rank, table_id::VARCHAR FROM rankings WHERE model = 'half'
+  UNION ALL SELECT 'orders', query_id, rank, table_id FROM orders_ranked),
+g AS (
+  SELECT 'vectors' AS dataset, a.vec_id::VARCHAR AS query_id, b.vec_id::VARCHAR AS table_id FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id
+  UNION ALL SELECT 'halves', query_id::VARCHAR, table_id::VARCHAR FROM rankings WHERE model = 'full' AND rank = 1
+  UNION ALL SELECT DISTINCT 'orders', query_id, table_id FROM orders_gold),
+q AS (SELECT DISTINCT dataset, CASE dataset WHEN 'vectors' THEN 'statement' WHEN 'halves' THEN 'question' ELSE 'schema question' END AS kind, query_id FROM r),
+n AS (SELECT dataset, query_id, count(*) AS n FROM g GROUP BY 1, 2),
+p AS (
+  SELECT q.dataset, q.kind, q.query_id, coalesce(any_value(n.n), 0) AS n, min(CASE WHEN g.table_id IS NOT NULL THEN rank END) AS first_hit,
+    coalesce(sum(CASE WHEN g.table_id IS NOT NULL THEN 1 / log2(rank + 1) END), 0) AS dcg,
+    {', '.join(f'count(CASE WHEN g.table_id IS NOT NULL AND rank <= {k} THEN 1 END) AS h{k}' for k in (1, 5, 10))}
+  FROM q JOIN r USING (dataset, query_id) LEFT JOIN g USING (dataset, query_id, table_id) LEFT JOIN n ON n.dataset = q.dataset AND n.query_id = q.query_id
+  GROUP BY 1, 2, 3),
+m AS (
+  SELECT dataset, kind, {{'mrr_10': avg(coalesce(1.0 / first_hit, 0)),
+    'ndcg_10': avg(CASE WHEN n = 0 THEN 0 ELSE dcg / list_sum(list_transform(range(1, 1 + least(10, n)), lambda i: 1 / log2(i + 1))) END),
+    {', '.join(f"'recall_{k}': avg(CASE WHEN n = 0 THEN 0 ELSE h{k} / n END), 'containment_{k}': avg((h{k} >= n)::INT)" for k in (1, 5, 10))},
+    'precision_5': avg(h5 / 5), 'f1_5': avg(CASE WHEN n = 0 OR h5 = 0 THEN 0 ELSE 2 * (h5 / 5) * (h5 / n) / (h5 / 5 + h5 / n) END)}} AS s FROM p GROUP BY 1, 2),
+long AS (
+  {' UNION ALL '.join(f"SELECT dataset, kind, '{x}' AS metric, s.{x} AS value FROM m"
+                      for x in ('mrr_10', 'ndcg_10', 'recall_1', 'recall_5', 'recall_10', 'containment_1', 'containment_5', 'containment_10', 'precision_5', 'f1_5'))})
+SELECT dataset, kind, metric, round(value, 6) AS value FROM long
+WHERE CASE WHEN metric[:11] = 'containment' THEN kind = 'schema question' WHEN metric IN ('precision_5', 'f1_5') THEN kind = 'statement' ELSE true END"""
+
+
+@query("evaluation_by_kind", _KIND_SQL)
+def evaluation_by_kind(spark, sf_dir):
+    """Three datasets in one pass: statements (same label), questions (one table each), schema questions (several)."""
+    text = lambda df, *cols: df.withColumns({c: F.col(c).cast("string") for c in cols})
+    of = lambda df, dataset: df.withColumn("dataset", F.lit(dataset))
+    ranks = written(text(model_rankings(spark, sf_dir, 10, ("full", "half")), "query_id", "table_id"), "rankings")
+    full, half = (ranks.where(F.col("model") == m).select("query_id", "rank", "table_id") for m in ("full", "half"))
+    value_ranks, value_queries, value_qrels = _value_rankings(spark, sf_dir)
+    members = text(classes(spark, sf_dir), "id")
+    judged = (
+        of(ranking.judge_by_class(full, members), "vectors")
+        .unionByName(of(ranking.judge(half, full.where("rank = 1").select("query_id", "table_id")), "halves"))
+        .unionByName(of(ranking.judge(value_ranks, value_qrels), "orders"))
+    )
+    counted = (
+        of(ranking.class_counts(members), "vectors")
+        .unionByName(of(half.select("query_id").distinct().withColumn("n_relevant", F.lit(1).cast("bigint")), "halves"))
+        .unionByName(of(ranking.relevant_counts(value_queries, value_qrels).select("query_id", "n_relevant"), "orders"))
+    )
+    kind = F.when(F.col("dataset") == "vectors", "statement").when(F.col("dataset") == "halves", "question").otherwise("schema question")
+    found = ranking.evaluate_kinds(judged.withColumn("kind", kind), counted.withColumn("kind", kind))
+    return found.select("dataset", "kind", F.explode("metrics").alias("metric", "value"))
