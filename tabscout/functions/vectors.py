@@ -3,10 +3,10 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
 
@@ -33,18 +33,24 @@ def _code(token: str) -> int:
     return int(hashlib.md5(token.encode()).hexdigest()[:15], 16)
 
 
-_TOKEN = re.compile(r"[^\W_]+")  # letters and digits of any script
+_BETWEEN = r"[^\p{L}\p{N}]+"  # tokens are letters and digits of any script
 
 
-def hash_texts(texts: list[str | None], dim: int) -> np.ndarray:
+def hash_texts(texts: pa.Array | list[str | None], dim: int) -> np.ndarray:
     """Signed token counts of each text, unit length: a token counts in bucket hash mod dim, with
-    the sign given by the next bit of the hash. A text without tokens is the zero vector."""
-    found = [[_code(t) for t in _TOKEN.findall((s or "").lower())] for s in texts]
-    codes = np.fromiter((c for f in found for c in f), dtype=np.int64) % (2 * dim)
-    row = np.repeat(np.arange(len(found)), [len(f) for f in found])
+    the sign given by the next bit of the hash. A text without tokens is the zero vector.
+
+    Texts are cut into tokens by Arrow; only the distinct tokens of a batch are hashed one by one.
+    """
+    whole = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts.cast(pa.string()), "")
+    cut = pc.split_pattern_regex(pc.utf8_lower(whole), pattern=_BETWEEN)
+    row = np.repeat(np.arange(len(whole)), np.diff(cut.offsets.to_numpy()))
+    tokens = cut.flatten().dictionary_encode()
+    known = np.array([_code(t) if t else -1 for t in tokens.dictionary.to_pylist()], np.int64)
+    codes = known[tokens.indices.to_numpy()] if len(known) else np.empty(0, np.int64)
+    row, codes = row[codes >= 0], codes[codes >= 0] % (2 * dim)
     sign = np.where(codes >= dim, -1.0, 1.0)
-    sums = np.bincount(row * dim + codes % dim, weights=sign, minlength=len(found) * dim)
-    sums = sums.reshape(len(found), dim)
+    sums = np.bincount(row * dim + codes % dim, weights=sign, minlength=len(whole) * dim).reshape(len(whole), dim)
     length = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
     return sums / np.where(length > 0, length, 1.0)
 
@@ -59,7 +65,7 @@ def hash_encode(text, dim: int = 64) -> Column:
 
     @F.arrow_udf("array<double>")
     def encode(texts: pa.Array) -> pa.Array:
-        return _lists(hash_texts(texts.to_pylist(), dim))
+        return _lists(hash_texts(texts, dim))
 
     return encode(_c(text))
 
@@ -69,11 +75,10 @@ def hash_encode_sum(texts, dim: int = 64) -> Column:
 
     @F.arrow_udf("array<double>")
     def encode(cells: pa.Array) -> pa.Array:
-        rows = cells.to_pylist()
-        vectors = hash_texts([c for r in rows for c in r or ()], dim)
-        total = np.zeros((len(rows), dim))
-        np.add.at(total, np.repeat(np.arange(len(rows)), [len(r or ()) for r in rows]), vectors)
-        return _lists(total)
+        sizes = pc.fill_null(pc.list_value_length(cells), 0).to_numpy()
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        total = np.concatenate(([np.zeros(dim)], np.cumsum(hash_texts(cells.flatten(), dim), axis=0)))
+        return _lists(total[ends[1:]] - total[ends[:-1]])
 
     return encode(_c(texts))
 
