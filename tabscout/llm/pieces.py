@@ -6,12 +6,14 @@ are those of its pieces one after another. A piece is encoded by the library, ne
 from __future__ import annotations
 
 import os
+from itertools import islice
 
 import numpy as np
 
 MARK = "\x02"  # an ASCII control character, never white space, a letter or part of another character
 LONGEST_CACHED = 64
 TAILS = ".,;:!?"
+ENTRY_BYTES = 170  # two objects and a place in a dict that is two thirds full
 
 
 def _word_end(char: str | bytes) -> bool:
@@ -27,24 +29,26 @@ class PieceEncoder:
     ``values(ids, begins, ends)`` gives the values of consecutive slices of an array of ids.
     """
 
-    def __init__(self, path: str, values, limit: int, seed: dict | None = None):
+    def __init__(self, path: str, values, limit: int, seed: dict | None = None, limit_bytes: int | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.values, self.limit, self.cache = values, limit, dict(seed or {})
+        self.values, self.limit, self.limit_bytes, self.cache = values, limit, limit_bytes, dict(seed or {})
+        self.measured = 0  # entries counted so far
+        self.bytes = 0  # of pieces, values and their places in the cache, estimated
         self.mark = self.ids(" " + MARK)
         signs = {c: self.value(self.ids(c)) for c in TAILS}
         self.tails = signs | {c.encode(): v for c, v in signs.items()}
 
     @classmethod
-    def of(cls, path: str, values, limit: int, seed: dict | None = None) -> "PieceEncoder":
+    def of(cls, path: str, values, limit: int, seed: dict | None = None, limit_bytes: int | None = None) -> "PieceEncoder":
         """The worker's own encoder: tasks that run in one Python process share its cache."""
-        key = (path, values.__name__, limit)
+        key = (path, values.__name__, limit, limit_bytes)
         if key not in _encoders:
-            _encoders[key] = cls(path, values, limit, seed)
+            _encoders[key] = cls(path, values, limit, seed, limit_bytes)
         return _encoders[key]
 
     def value(self, ids: list[int]):
@@ -96,3 +100,12 @@ class PieceEncoder:
         if len(self.cache) > self.limit:
             for _ in range(len(self.cache) - 2 * self.limit // 3):
                 self.cache.popitem()
+        if self.limit_bytes is not None:  # for values that have a length
+            entries = len(self.cache)
+            if entries > self.measured:
+                self.bytes += sum(ENTRY_BYTES + len(p) + len(v) for p, v in islice(reversed(self.cache.items()), entries - self.measured))
+            if self.bytes > self.limit_bytes:
+                while self.cache and self.bytes > 2 * self.limit_bytes // 3:
+                    p, v = self.cache.popitem()
+                    self.bytes -= ENTRY_BYTES + len(p) + len(v)
+            self.measured = len(self.cache)

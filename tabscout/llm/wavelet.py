@@ -25,7 +25,7 @@ from tabscout.session import scratch_path, ship
 
 SHARD_TOKENS = 1 << 20
 RANK_BITS = 4096
-CACHE_PIECES = 900_000
+CACHE_BYTES = 96 << 20  # of a worker
 
 SHARD_SCHEMA = (
     "part int, seq int, n_tokens bigint, bits int, doc_ids binary, doc_has_id binary, lengths binary, "
@@ -191,7 +191,7 @@ def encode_shards(
     width = len(end)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = PieceEncoder.of(tokenizer, value, CACHE_PIECES)
+        tokens = PieceEncoder.of(tokenizer, value, 1 << 60, limit_bytes=CACHE_BYTES)
         part, seq = TaskContext.get().partitionId(), 0
         streams, ids, lengths = [], [], []
         held = 0

@@ -75,6 +75,18 @@ def test_piece_cache_stays_bounded():
         assert len(encoder.cache) <= 10
 
 
+def test_piece_cache_is_bounded_in_bytes():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder = pieces.PieceEncoder(path, wavelet._two_bytes, 1 << 60, limit_bytes=100_000)
+    for turn in range(40):
+        met = {f"word{turn}x{i}".encode() for i in range(60)} | {b"common"}
+        long = encoder.fill(met, wavelet._spaced)
+        assert all(p in encoder.cache or p in long for p in met)
+        encoder.shrink()
+        assert encoder.bytes == sum(pieces.ENTRY_BYTES + len(p) + len(v) for p, v in encoder.cache.items()) <= 100_000
+    assert b"common" in encoder.cache
+
+
 def test_wavelet_files(spark, docs, empty, tmp_path):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
