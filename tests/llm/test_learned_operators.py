@@ -169,6 +169,8 @@ def test_near_dedup_stage(spark, monkeypatch):
     monkeypatch.setattr(shingles, "NEAR", 1)
     assert sorted((r.doc_id for r in shingles.deduplicate(df).collect()), key=str) == want
     assert shingles.deduplicate(df.limit(0)).count() == 0
+    named = df.selectExpr("*", "1 as _kept", "2 as _of", "3 as node", "4 as least", "5 as _row")
+    assert sorted((r.doc_id for r in shingles.deduplicate(named).collect()), key=str) == want
 
 
 def test_near_dedup_stage_on_data(spark):
@@ -179,4 +181,4 @@ def test_near_dedup_stage_on_data(spark):
 
 def test_registered():
     ours = {q.split("_")[0] for q in entry.queries() if q.startswith("op")}
-    assert ours == {f"op{n}" for n in range(1, 11)} and "pipeline" in entry.queries()
+    assert ours == {f"op{n}" for n in range(1, 14)} and "pipeline" in entry.queries()
