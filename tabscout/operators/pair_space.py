@@ -129,7 +129,9 @@ def _blocks(space: PairSpace) -> DataFrame:
     cut = space.databases.where("n_tables > 1").select(
         "database_name", "n_tables", "first_rank", pairs.alias("pairs"),
         F.explode(F.sequence(F.lit(0).cast("bigint"), pairs - 1, F.lit(BLOCK).cast("bigint"))).alias("start"))
-    return cut.withColumn("stop", F.least(F.col("start") + BLOCK, F.col("pairs"))).repartition("database_name", "start")
+    # a given number of tasks: by their size alone these few rows would end up in one
+    tasks = max(space.databases.sparkSession.sparkContext.defaultParallelism, min(1 << 16, space.positives // (16 * BLOCK)))
+    return cut.withColumn("stop", F.least(F.col("start") + BLOCK, F.col("pairs"))).repartition(tasks, "database_name", "start")
 
 
 def _pairs_of(block: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from tabscout.operators import pair_space, samples
 from tabscout.plans.corpora import CORPUS_SQL, SQL_FULL, SQL_ROW, SQL_SCHEMA, order_corpus, stored_corpus
 from tabscout.plans.registry import query, sql_h, table
-from tabscout.session import spread, written
+from tabscout.session import scratch_path, spread, written
+from tabscout.sources import pair_blocks
 
 SEED = 42
 
@@ -136,11 +137,10 @@ SELECT p.database_name AS db_a, table_a, p.database_name AS db_b, table_b, label
 FROM positives p JOIN v a ON a.database_name = p.database_name AND a.table_name = table_a
 JOIN v b ON b.database_name = p.database_name AND b.table_name = table_b""")
 def pc_positive_pair_texts(spark, sf_dir):
-    """All pairs of all anchors, with row-view texts."""
-    corpus = stored_corpus(spark, sf_dir)
-    listed = samples.all_pairs(samples.index(corpus)).select(
-        F.col("database_name").alias("db_a"), "table_a", F.col("database_name").alias("db_b"), "table_b", "label")
-    return samples.pair_texts(corpus, listed)
+    """All pairs of all anchors, with row-view texts, from a file of blocks that holds each text once."""
+    path = scratch_path(spark, "pair-blocks")
+    pair_blocks.write_pair_blocks(stored_corpus(spark, sf_dir), path)
+    return pair_blocks.read_pairs(spark, path)
 
 
 @query("pc_negative_pairs", f"WITH {INDEX_SQL}, {NEGATIVE_SQL} SELECT * FROM negatives")

@@ -7,7 +7,8 @@ from tabscout.functions.vectors import normalise
 from tabscout.operators import encode, pivot_tree, prefixes, projections, ranking, samples, search
 from tabscout.plans.corpora import CORPUS_SQL, DOCUMENTS_SQL, document_corpus, order_corpus
 from tabscout.plans.registry import query, sql_h, table
-from tabscout.session import spread, written
+from tabscout.session import scratch_path, spread, written
+from tabscout.sources import run_files
 
 DIM = 64
 MODELS = {"full": 64, "half": 32, "quarter": 16}  # leading dimensions that make up a model's vector
@@ -299,7 +300,7 @@ def similar_tables(spark, sf_dir):
     return _similar(spark, sf_dir)
 
 
-@query("pair_evidence", _SIMILAR_SQL + """, facts AS (
+_EVIDENCE_SQL = _SIMILAR_SQL + """, facts AS (
   SELECT table_id, "table"[1] AS cols, CASE WHEN len("table") > 1 THEN
     list_transform(range(1, len("table"[1]) + 1), lambda i: coalesce("table"[2][i], '')) END AS first_row FROM docs),
 p AS (
@@ -317,7 +318,10 @@ t AS (
     CASE WHEN hit IS NOT NULL THEN 'value_match:' || hit || '=' || arow[list_position(acols, hit)] END) AS ev FROM e)
 SELECT query_id AS query_table, coalesce(array_to_string(arow, ' '), '') AS query_sample, rank, table_id AS candidate_table,
   score AS similarity_score, CASE WHEN ev = '' THEN 'embedding_similarity_only' ELSE ev END AS evidence,
-  coalesce(array_to_string(brow, ' '), '') AS candidate_sample FROM t""")
+  coalesce(array_to_string(brow, ' '), '') AS candidate_sample FROM t"""
+
+
+@query("pair_evidence", _EVIDENCE_SQL)
 def pair_evidence(spark, sf_dir):
     """Similar tables with the reason and a sample row of both."""
     header = F.get("table", 0)
@@ -339,6 +343,14 @@ def pair_evidence(spark, sf_dir):
     )
 
 
+@query("evidence_file", _EVIDENCE_SQL)
+def evidence_file(spark, sf_dir):
+    """The same as a CSV file, read back."""
+    path = scratch_path(spark, "evidence")
+    run_files.write_evidence(pair_evidence(spark, sf_dir), path)
+    return run_files.read_evidence(spark, path).drop("processing_time")
+
+
 @query("prefix_join", f"""WITH {CORPUS_SQL}, d AS (SELECT DISTINCT database_name AS db FROM corpus)
 SELECT db, name FROM (SELECT database_name || '__' || table_name AS name FROM corpus) JOIN d ON starts_with(name, db)""")
 def prefix_join(spark, sf_dir):

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import csv
+import io
 import json
 from collections.abc import Iterator
 
@@ -9,7 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabscout.functions.names import fk_key, table_key
+from tabscout.session import written
 from tabscout.sources.files import BATCH_ROWS, csv_records, filesystem, list_files, open_stream
+from tabscout.sources.json_events import read_object
 
 CATALOGUE = "info_full.json"
 SHORT_CATALOGUE = "info_short.json"
@@ -39,6 +42,52 @@ def catalogues(spark: SparkSession, root: str, name: str = CATALOGUE) -> DataFra
     )
 
 
+_TABLE = (
+    "FILEPATH string, COLUMNS array<string>, COLUMN_DATATYPES array<string>, NUM_ROWS bigint, "
+    "FOREIGN_KEYS array<struct<FOREIGN_KEY:array<string>, REFERENCE_TABLE:string>>, _bad string"
+)
+
+
+def catalogue_tables(spark: SparkSession, root: str, name: str = CATALOGUE) -> DataFrame:
+    """(folder, database, table, t), stored: one row per table of every catalogue that can be read whole.
+
+    Catalogues are read member by member, so a database of any number of tables needs no more memory
+    than its largest entry. ``database`` is the name that the catalogue gives itself, else the folder.
+    """
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def events(path: str) -> Iterator[tuple]:
+            folder = path.rsplit("/", 2)[-2]
+            try:
+                with open_stream(path) as stream:
+                    text = io.TextIOWrapper(stream, encoding="utf-8", errors="replace")
+                    for key, inner, value in read_object(text, "TABLES"):
+                        if key == "TABLES" and inner is not None:
+                            yield folder, "table", inner, value
+                        elif key == "INFO":
+                            yield folder, "info", None, value
+            except (OSError, ValueError, RecursionError) as broken:
+                yield folder, "error", None, str(broken)
+
+        for pdf in batches:
+            for path in pdf["path"]:
+                batch = []
+                for event in events(path):
+                    batch.append(event)
+                    if len(batch) == BATCH_ROWS:
+                        yield pd.DataFrame(batch, columns=["folder", "kind", "name", "value"])
+                        batch = []
+                if batch:
+                    yield pd.DataFrame(batch, columns=["folder", "kind", "name", "value"])
+
+    found = written(list_files(spark, root, name).mapInPandas(read, "folder string, kind string, name string, value string"), "catalogue")
+    options = {"columnNameOfCorruptRecord": "_bad"}
+    parsed = found.where("kind = 'table'").select("folder", F.col("name").alias("table"), F.from_json("value", _TABLE, options).alias("t"))
+    broken = found.where("kind = 'error'").select("folder").unionByName(parsed.where("t._bad is not null").select("folder")).distinct()
+    named = found.where("kind = 'info'").groupBy("folder").agg(F.max(F.get_json_object("value", "$.db_folder_name")).alias("_name"))
+    tables = parsed.join(broken, "folder", "left_anti").join(named, "folder", "left")
+    return tables.select("folder", F.coalesce("_name", "folder").alias("database"), "table", "t")
+
+
 def rejected(spark: SparkSession, root: str) -> DataFrame:
     """(folder) of databases whose catalogue is not valid JSON."""
     return catalogues(spark, root).filter(F.col("c._bad").isNotNull()).select("folder")
@@ -134,9 +183,8 @@ def csv_rows(spark: SparkSession, root: str) -> DataFrame:
 def read_folders(spark: SparkSession, root: str, row_limit: int = 3) -> DataFrame:
     """CORPUS_SCHEMA rows. Cells are aligned with the declared columns by header name; what is
     missing is an empty string. A table without a file has no rows."""
-    meta = catalogues(spark, root).filter(F.col("c._bad").isNull()).select(
-        F.col("folder").alias("database_name"), F.explode("c.TABLES").alias("table_name", "t")
-    ).withColumn("file", F.coalesce("t.FILEPATH", F.lit("")))
+    meta = catalogue_tables(spark, root).select(
+        F.col("folder").alias("database_name"), F.col("table").alias("table_name"), "t", F.coalesce("t.FILEPATH", F.lit("")).alias("file"))
     joined = meta.join(csv_heads(spark, root, row_limit).drop("error"), ["database_name", "file"], "left")
     columns = F.coalesce("t.COLUMNS", F.array().cast("array<string>"))
     aligned = F.transform(
@@ -162,27 +210,21 @@ def read_folders(spark: SparkSession, root: str, row_limit: int = 3) -> DataFram
 
 
 def _either_catalogue(spark: SparkSession, root: str) -> DataFrame:
-    """The full catalogue of each folder, else the short one."""
-    both = catalogues(spark, root).withColumn("place", F.lit(1)).unionByName(
-        catalogues(spark, root, SHORT_CATALOGUE).withColumn("place", F.lit(2))
-    )
-    best = both.groupBy("folder").agg(F.min("place").alias("place"))
-    return both.join(best, ["folder", "place"], "left_semi")
+    """Tables of the full catalogue of each folder, else of the short one."""
+    folder = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("folder")
+    full = list_files(spark, root, CATALOGUE).select(folder).distinct()
+    return catalogue_tables(spark, root).unionByName(
+        catalogue_tables(spark, root, SHORT_CATALOGUE).join(full, "folder", "left_anti"))
 
 
 def table_catalogue(spark: SparkSession, root: str) -> DataFrame:
     """(database, table): normalised table names under the database's own name."""
-    return _either_catalogue(spark, root).select(
-        F.coalesce("c.INFO.db_folder_name", "folder").alias("database"), F.explode("c.TABLES").alias("table", "t")
-    ).select("database", table_key(F.col("table")).alias("table"))
+    return _either_catalogue(spark, root).select("database", table_key(F.col("table")).alias("table"))
 
 
 def fk_catalogue(spark: SparkSession, root: str) -> DataFrame:
     """(database, source_table, destination_table, foreign_key), normalised; incomplete keys dropped."""
-    tables = _either_catalogue(spark, root).select(
-        F.coalesce("c.INFO.db_folder_name", "folder").alias("database"), F.explode("c.TABLES").alias("table", "t")
-    )
-    keys = tables.select("database", "table", F.explode("t.FOREIGN_KEYS").alias("k"))
+    keys = _either_catalogue(spark, root).select("database", "table", F.explode("t.FOREIGN_KEYS").alias("k"))
     return keys.filter(F.size("k.FOREIGN_KEY") >= 2).select(
         "database", table_key(F.col("table")).alias("source_table"),
         table_key(F.coalesce("k.REFERENCE_TABLE", F.lit(""))).alias("destination_table"),

@@ -259,6 +259,31 @@ def test_archive_writer_bounds_members(spark, tmp_path):
     assert got.count() == 50 and got.groupBy("archive", "member").count().agg(F.max("count")).first()[0] <= 7
 
 
+def test_plain_archives_are_read_by_many_tasks(spark, tmp_path):
+    def plain(name, mode):
+        with tarfile.open(tmp_path / name, mode) as t:
+            for i in range(40):
+                data = "".join(json.dumps({"table_id": f"{i}-{k}"}) + "\n" for k in range(5)).encode()
+                info = tarfile.TarInfo(f"d/part{i}.jsonl" if i % 2 else f"d/other{i}.txt")
+                info.size = len(data)
+                t.addfile(info, io.BytesIO(data))
+
+    plain("big.tar", "w:")
+    plain("same.tar.gz", "w:gz")
+    plain("disguised.tar", "w:gz")
+    put(tmp_path / "cut.tar", (tmp_path / "big.tar").read_bytes()[:9000])
+    root = str(tmp_path)
+    got = archive.read_archives(spark, root, ["*.jsonl"])
+    of = lambda name: sorted((r.member_no, r.member, r.idx, r.record) for r in got.where(F.col("archive").endswith("/" + name)).collect())
+    assert len(of("big.tar")) == 100 and of("big.tar") == of("same.tar.gz") == of("disguised.tar")
+    assert set(of("cut.tar")) < set(of("big.tar"))
+    index = archive.member_index(spark, root, ["*.jsonl"]).where(F.col("archive").endswith("/big.tar"))
+    assert index.count() == 20 and {r.length for r in index.collect()} != {0}
+    tasks = got.where(F.col("archive").endswith("/big.tar")).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks > 1
+    assert [r.archive.rsplit("/", 1)[1] for r in archive.archive_errors(spark, root, ["*.jsonl"]).collect()] == ["cut.tar"]
+
+
 def test_what_cannot_be_read_is_told(spark, tmp_path):
     tar(tmp_path / "a.tar.gz", [("d/broken_tables.json", "{oops"), ("d/tables.json", '[{"table_id": "x"}]')])
     put(tmp_path / "cut.tar.gz", (tmp_path / "a.tar.gz").read_bytes()[:60])
