@@ -213,7 +213,8 @@ def encode_shards(
                 met: set[bytes] = set()
                 met.update(*pieces)
                 long = tokens.fill(met, _spaced)
-                get = tokens.cache.__getitem__ if not long else (tokens.cache | long).__getitem__
+                tokens.cache.update(long)  # for this batch only
+                get = tokens.cache.__getitem__
                 for doc_id, own in zip(rows.column("doc_id"), pieces):
                     stream = b"".join(map(get, own)) + end
                     n = len(stream) // width
@@ -225,6 +226,8 @@ def encode_shards(
                     ids.append(doc_id.as_py())
                     lengths.append(n)
                     held += n
+                for piece in long:
+                    del tokens.cache[piece]
                 tokens.shrink()
         if lengths:
             yield shard()
