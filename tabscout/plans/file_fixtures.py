@@ -26,7 +26,8 @@ def nation_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     its orders: (tables, rows).
 
     Building customers do not state their number of rows; every table refers to the first of its
-    database.
+    database. Sides that grow with the customers are merged, not broadcast: their files are small, their
+    rows in memory are not.
     """
     customers = table(spark, sf_dir, "customer").join(
         table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")
@@ -35,7 +36,7 @@ def nation_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     first = customers.groupBy("database_name").agg(F.min("c_custkey").alias("first"))
     named = lambda key: F.concat(F.lit("Customer "), F.col(key).cast("string"))
     counts = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
-    head = customers.join(first, "database_name").select(
+    head = customers.join(first.hint("merge"), "database_name").select(
         "c_custkey", "database_name", named("c_custkey").alias("table_name"),
         F.array(*map(F.lit, COLUMNS)).alias("columns"),
         F.concat(F.lit("customer_"), F.col("c_custkey").cast("string"), F.lit(".csv")).alias("filepath"),
@@ -44,14 +45,14 @@ def nation_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
         )).alias("foreign_keys"),
         F.array(*map(F.lit, ["bigint", "string", "decimal", "string"])).alias("column_datatypes"), "c_mktsegment",
     )
-    tables = head.join(counts, F.col("c_custkey") == F.col("o_custkey"), "left").withColumn(
+    tables = head.join(counts.hint("merge"), F.col("c_custkey") == F.col("o_custkey"), "left").withColumn(
         "num_rows_total", F.when(F.col("c_mktsegment") != "BUILDING", F.coalesce("n", F.lit(0)))
     )
     cells = F.array(
         F.col("o_orderkey").cast("string"), "o_orderstatus", F.col("o_totalprice").cast("decimal(18,2)").cast("string"),
         "o_orderpriority",
     )
-    rows = table(spark, sf_dir, "orders").join(head, F.col("c_custkey") == F.col("o_custkey")).select(
+    rows = table(spark, sf_dir, "orders").join(head.hint("merge"), F.col("c_custkey") == F.col("o_custkey")).select(
         "database_name", "filepath", F.col("o_orderkey").alias("ord"), "columns", cells.alias("cells")
     )
     return tables, rows

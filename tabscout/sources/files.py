@@ -2,23 +2,102 @@
 from __future__ import annotations
 
 import csv
+import fnmatch
 import io
 import json
+import re
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 BATCH_ROWS = 5000
 
 
-def list_files(spark: SparkSession, root: str, glob: str) -> DataFrame:
-    """(path) of the files below ``root``; the contents are not read."""
+def _hidden(name: str) -> bool:
+    """Names that Spark's own readers pass over."""
+    kept = name.startswith(("_metadata", "_common_metadata"))
+    return not kept and (name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_"))
+
+
+def _inside(where, folder: str) -> list:
+    from pyarrow import fs
+
+    return [i for i in where.get_file_info(fs.FileSelector(folder)) if not _hidden(i.base_name)]
+
+
+def _spark_listing(spark: SparkSession, root: str, glob: str) -> DataFrame:
     return (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
         .load(root).select("path")
     )
 
 
+def list_files(spark: SparkSession, root: str, glob: str) -> DataFrame:
+    """(path) of the files below ``root``; the contents are not read.
+
+    One task lists the root, others what lies below each folder in it, and the paths are dealt evenly over
+    tasks again: no list passes through the driver. The names of one folder are held by the task that lists
+    it. Roots with wildcards, and stores that Arrow does not know, are listed by Spark on the driver.
+    """
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(at):
+        return _spark_listing(spark, root, glob)
+    whole = store.makeQualified(at).toString()
+    try:
+        filesystem(whole)
+    except (OSError, ValueError, NotImplementedError):
+        return _spark_listing(spark, root, glob)
+
+    def top(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        where, inner = filesystem(whole)
+        for _ in batches:
+            found = [where.get_file_info(inner)]
+            if not found[0].is_file:
+                found = _inside(where, inner)
+            for n in range(0, len(found), BATCH_ROWS):
+                part = found[n:n + BATCH_ROWS]
+                yield pd.DataFrame({"path": [i.path for i in part], "folder": [not i.is_file for i in part]})
+
+    def below(where, folder: str) -> Iterator[str]:
+        for i in _inside(where, folder):
+            if i.is_file:
+                yield i.path
+            else:
+                yield from below(where, i.path)
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        where, inner = filesystem(whole)
+        inner = inner.rstrip("/")
+        out = []
+        for pdf in batches:
+            for path, folder in zip(pdf["path"], pdf["folder"]):
+                for found in below(where, path) if folder else [path]:
+                    if wanted(found.rsplit("/", 1)[-1]):
+                        out.append(whole.rstrip("/") + found[len(inner):])
+                    if len(out) == BATCH_ROWS:
+                        yield pd.DataFrame({"path": out})
+                        out = []
+        yield pd.DataFrame({"path": pd.Series(out, dtype=object)})
+
+    wanted = _matcher(glob)
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    tops = spark.range(1, numPartitions=1).mapInPandas(top, "path string, folder boolean").repartition(tasks, "path")
+    return tops.mapInPandas(walk, "path string").repartition(tasks, "path")
+
+
+def _matcher(glob: str):
+    """Whether a name matches: * and ?, [] and {a,b} as in Spark's ``pathGlobFilter``."""
+    alternatives = [glob]
+    while any("{" in g for g in alternatives):
+        alternatives = [
+            g[:g.index("{")] + one + g[g.index("}") + 1:] if "{" in g else g
+            for g in alternatives for one in (g[g.index("{") + 1:g.index("}")].split(",") if "{" in g else [""])]
+    patterns = [re.compile(fnmatch.translate(g.replace("[^", "[!"))) for g in alternatives]
+    return lambda name: any(p.match(name) for p in patterns)
+
+
 def filesystem(path: str):
     """(file system, path inside it) for a plain path or any URI that Arrow knows."""
     from pyarrow import fs

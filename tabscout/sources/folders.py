@@ -154,24 +154,28 @@ def csv_rows(spark: SparkSession, root: str) -> DataFrame:
     """
     tables = list_files(spark, root, "*.csv").filter(F.col("path").rlike("/tables/[^/]+$"))
 
-    def chunks(path: str) -> Iterator[pd.DataFrame]:
-        header, cells, start = None, [], 0
+    def records(path: str) -> Iterator[tuple]:
+        header, n = None, 0
         with open_stream(path) as stream:
             for record in csv_records(stream):
                 if header is None:
                     header = record
                     continue
-                cells.append(dict(zip(header, record + [None] * (len(header) - len(record)))))
-                if len(cells) == BATCH_ROWS:
-                    yield pd.DataFrame({"path": path, "row_idx": range(start, start + len(cells)), "cells": cells})
-                    start, cells = start + len(cells), []
-        if cells:
-            yield pd.DataFrame({"path": path, "row_idx": range(start, start + len(cells)), "cells": cells})
+                yield path, n, dict(zip(header, record + [None] * (len(header) - len(record))))
+                n += 1
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Batches go on from file to file, as most files are short."""
+        out = []
         for pdf in batches:
             for path in pdf["path"]:
-                yield from chunks(path)
+                for row in records(path):
+                    out.append(row)
+                    if len(out) == BATCH_ROWS:
+                        yield pd.DataFrame(out, columns=["path", "row_idx", "cells"])
+                        out = []
+        if out:
+            yield pd.DataFrame(out, columns=["path", "row_idx", "cells"])
 
     rows = tables.mapInPandas(read, "path string, row_idx bigint, cells map<string,string>")
     name = F.concat(
@@ -185,7 +189,8 @@ def read_folders(spark: SparkSession, root: str, row_limit: int = 3) -> DataFram
     missing is an empty string. A table without a file has no rows."""
     meta = catalogue_tables(spark, root).select(
         F.col("folder").alias("database_name"), F.col("table").alias("table_name"), "t", F.coalesce("t.FILEPATH", F.lit("")).alias("file"))
-    joined = meta.join(csv_heads(spark, root, row_limit).drop("error"), ["database_name", "file"], "left")
+    heads = csv_heads(spark, root, row_limit).drop("error").hint("merge")  # as many as tables, though Spark cannot tell
+    joined = meta.join(heads, ["database_name", "file"], "left")
     columns = F.coalesce("t.COLUMNS", F.array().cast("array<string>"))
     aligned = F.transform(
         F.coalesce("rows", F.array().cast("array<array<string>>")),
@@ -214,7 +219,7 @@ def _either_catalogue(spark: SparkSession, root: str) -> DataFrame:
     folder = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("folder")
     full = list_files(spark, root, CATALOGUE).select(folder).distinct()
     return catalogue_tables(spark, root).unionByName(
-        catalogue_tables(spark, root, SHORT_CATALOGUE).join(full, "folder", "left_anti"))
+        catalogue_tables(spark, root, SHORT_CATALOGUE).join(full.hint("merge"), "folder", "left_anti"))
 
 
 def table_catalogue(spark: SparkSession, root: str) -> DataFrame:
@@ -238,16 +243,23 @@ def _write_grouped(df: DataFrame, keys: list[str], order: list[str], path_of, op
     """Stream rows, sorted inside each task, into one file per key; no group is held in memory."""
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, out, n = None, None, 0
+        now, out, n, where, made = None, None, 0, None, None
         for pdf in batches:
-            for row in pdf.to_dict("records"):
+            names = list(pdf.columns)
+            for row in map(lambda values: dict(zip(names, values)), pdf.itertuples(index=False, name=None)):
                 key = tuple(row[k] for k in keys)
                 if key != now:
                     if out is not None:
                         out.write(closing().encode())
                         out.close()
-                    where, inner = filesystem(path_of(*key))
-                    where.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+                    path = path_of(*key)
+                    if where is None:
+                        where, inner = filesystem(path)
+                        outer = path[:len(path) - len(inner)]
+                    folder, inner = path.rsplit("/", 1)[0], path[len(outer):]
+                    if folder != made:
+                        where.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+                        made = folder
                     out, now, first = where.open_output_stream(inner), key, True
                     out.write(opening(row).encode())
                     n += 1

@@ -309,3 +309,16 @@ def test_only_named_collections_are_read(spark, tmp_path):
     store.append_new(batch, path)
     got = spark.read.parquet(path).select("dataset", "point_id", "num_rows").collect()
     assert sorted(map(tuple, got)) == [("d1", "p", 1), ("d1", "q", 2), ("d2", "p", 1)]
+
+
+def test_listing_does_not_pass_through_the_driver(spark, tmp_path):
+    for name in ("a.csv", "deep/er/b.csv", "deep/c.txt", "_hidden/d.csv", ".e.csv", "_f.csv", "_k=1/g.csv", "sp ace/h é.csv", "deep/i.csv._COPYING_"):
+        put(tmp_path / name, "x")
+    listed = lambda glob: sorted(r.path for r in files.list_files(spark, str(tmp_path), glob).collect())
+    for glob in ("*.csv", "*.{csv,txt}", "[a-b].csv", "?.csv", "c.txt", "none"):
+        assert listed(glob) == sorted(r.path for r in files._spark_listing(spark, str(tmp_path), glob).collect())
+    assert not files.list_files(spark, str(tmp_path), "*.csv").inputFiles()  # Spark's own listing is held by the driver
+    assert [r.path.rsplit("/", 1)[1] for r in files.list_files(spark, str(tmp_path / "a.csv"), "*.csv").collect()] == ["a.csv"]
+    assert len(files.list_files(spark, f"{tmp_path}/*/c.txt", "*").collect()) == 1
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        files.list_files(spark, str(tmp_path / "gone"), "*.csv").collect()
