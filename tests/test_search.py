@@ -176,3 +176,29 @@ def test_texts_in_any_script(spark):
     same = spark.createDataFrame([(0, "GRÖSSE, GRÖẞE größe"), (1, "größe")], "table_id long, text string")
     a, b = [np.array(r.e) for r in same.select(hash_encode("text").alias("e")).collect()]
     assert a @ b > 0.3
+
+
+def test_queries_read_stored_cells(spark):
+    """Neither queries nor tables are copied per pair of blocks; several cells, blocks and pieces, ties and equal rows."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(900, 8))
+    x[300:500] = x[0]  # a cell of equal rows
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = [f"t{i:04d}" for i in range(len(x))]
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "table_id string, embedding array<double>").repartition(3)
+    queries = vectors.selectExpr("table_id as query_id", "embedding").unionByName(
+        spark.createDataFrame([(None, x[1].tolist())], "query_id string, embedding array<double>"))
+    found = search.exact_topk(queries, vectors, 7, exclude_self=True, broadcast_values=0, n_pivots=9, block_rows=64, query_block_rows=50)
+    plan = found._jdf.queryExecution().toString()
+    assert "CoGroup" not in plan and "Join" not in plan
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.table_id, r.score))
+    score = np.round(x @ x.T, 6) + 0.0
+    assert set(got) == set(ids)
+    for i, name in enumerate(ids):
+        best = sorted((-score[i, j], ids[j]) for j in range(len(x)) if j != i)[:7]
+        assert sorted(got[name]) == [(n + 1, t, pytest.approx(-s)) for n, (s, t) in enumerate(best)]
+    twice = search.exact_topk(queries.unionByName(queries), vectors, 7, exclude_self=True, broadcast_values=0, n_pivots=9)
+    one = [r for r in twice.where("query_id = 't0001'").orderBy("rank").collect()]
+    assert [r["rank"] for r in one] == list(range(1, 8)) and [r.table_id for r in one[:4]] == [sorted(got["t0001"])[0][1]] * 4
