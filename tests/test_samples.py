@@ -219,3 +219,24 @@ def test_plans_have_no_cross_join(spark):
 def test_line_limit_is_applied_before_the_shuffle(spark):
     text = plan(order_corpus(spark, SF))
     assert text.count("WindowGroupLimit") >= 2 and "BatchEvalPython" not in text and "ArrowEvalPython" not in text
+
+
+def test_triplets_are_drawn_in_rounds(spark, monkeypatch):
+    """Half of the databases have one table, so that attempts fail; no more are drawn than the target takes."""
+    corpus = make_corpus(spark, [
+        (f"d{i}", f"t{j}", ["a"], [["x"]], []) for i in range(40) for j in range(1 if i % 2 else 3)
+    ])
+    drawn, whole = [], samples.written
+
+    def counted(df, name):
+        out = whole(df, name)
+        if name == "attempts":
+            drawn.append(out.agg(F.max("attempt")).first()[0])
+        return out
+
+    monkeypatch.setattr(samples, "written", counted)
+    rows = lambda n: [tuple(r) for r in samples.triplets(corpus, n).orderBy("attempt").collect()]
+    some = rows(1000)
+    assert len(some) == 1000 and drawn[-1] < 2500  # of 3000 that may be drawn
+    assert some[:300] == rows(300) and some == rows(1500)[:1000]
+    assert rows(0) == []
