@@ -147,8 +147,20 @@ def links_of_runs(key: np.ndarray, probe: np.ndarray, fp: np.ndarray) -> tuple[n
     return a, b
 
 
+_BIT_OF = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The signed number of the bits that are set in over half the hashes, 0 for none."""
+    n = len(hashes)
+    if not n:
+        return 0
+    octets = hashes.astype(">u8").view(np.uint8).reshape(n, 8)
+    ones = np.concatenate([np.bincount(octets[:, i], minlength=256) @ _BIT_OF for i in range(8)])
+    return int(np.packbits(ones * 2 > n).view(">i8")[0])
+
+
 def _fingerprinter(words: int, seed: int):
-    bit_of = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
     digest = partial(xxhash.xxh64_intdigest, seed=seed)
 
     def fingerprint(text: str | None) -> int:
@@ -160,9 +172,7 @@ def _fingerprinter(words: int, seed: int):
         else:
             n = len(tokens) - words + 1
             shingles = map(b" ".join, zip(*(tokens[i:] for i in range(words))))
-        octets = np.fromiter(map(digest, shingles), np.uint64, n).astype(">u8").view(np.uint8).reshape(n, 8)
-        ones = np.concatenate([np.bincount(octets[:, i], minlength=256) @ bit_of for i in range(8)])
-        return int(np.packbits(ones * 2 > n).view(">i8")[0])
+        return majority(np.fromiter(map(digest, shingles), np.uint64, n))
 
     return fingerprint
 

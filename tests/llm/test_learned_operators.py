@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from tabscout.llm import linecrf, partitions, queries, shingles
+from tabscout.llm import golay, linecrf, partitions, queries, shingles
 
 SF = "/root/testdata/sf0.001"
 SF2 = "/root/testdata/sf0.01"
@@ -173,6 +173,28 @@ def test_near_dedup_stage(spark, monkeypatch):
     assert sorted((r.doc_id for r in shingles.deduplicate(named).collect()), key=str) == want
 
 
+def test_near_dedup_fingerprints(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    base = [f"w{k}" for k in rng.integers(0, 3000, 800)]
+    rows = [(0, " ".join(base)), (1, " ".join(base)), (2, " ".join(base[:-1])), (3, " ".join(base[1:])), (4, None), (5, "one two")]
+    rows += [(10 + n, " ".join(f"w{k}" for k in rng.integers(0, 3000, 300))) for n in range(20)]
+    ids = [shingles.shingle_ids(t, 5) for _, t in rows]
+    fp = {i: golay.majority(x) for (i, _), x in zip(rows, ids)}
+    near = {(a, b) for a in fp for b in fp if a < b and ((fp[a] ^ fp[b]) & ((1 << 64) - 1)).bit_count() <= 3}
+    assert {(0, 1), (0, 2), (0, 3)} <= near and all(b < 4 for _, b in near)
+    nodes = spark.createDataFrame(list(fp.items()), "node bigint, fp bigint")
+    pairs = [(r.a, r.b) for r in shingles.simhash_pairs(nodes).collect()]
+    assert {x for p in pairs for x in p} == {0, 1, 2, 3}
+
+    # A sketch differs in no more bits than the sets in hashes.
+    bits = [np.unpackbits(np.frombuffer(shingles._sketch(x), np.uint8)) for x in ids]
+    assert all((a != b).sum() <= len(np.setxor1d(x, y)) for a, x in zip(bits, ids) for b, y in zip(bits, ids))
+    # Fingerprints link what no shingle of a prefix does.
+    monkeypatch.setattr(shingles, "_possible", lambda a, b, similarity: F.lit(False))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id for r in shingles.deduplicate(df).collect()} == set(fp) - {1, 2, 3}
+
+
 def test_near_dedup_stage_on_data(spark):
     docs = spark.read.parquet(f"{SF2}/documents.parquet").select("doc_id", "text")
     rows = [tuple(r) for r in docs.collect()]
