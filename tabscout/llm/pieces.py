@@ -5,7 +5,9 @@ are those of its pieces one after another. A piece is encoded by the library, ne
 """
 from __future__ import annotations
 
+import json
 import os
+import re
 from itertools import islice
 
 import numpy as np
@@ -46,7 +48,7 @@ class PieceEncoder:
     @classmethod
     def of(cls, path: str, values, limit: int, seed: dict | None = None, limit_bytes: int | None = None) -> "PieceEncoder":
         """The worker's own encoder: tasks that run in one Python process share its cache."""
-        key = (path, values.__name__, limit, limit_bytes)
+        key = (cls, path, values.__name__, limit, limit_bytes)
         if key not in _encoders:
             _encoders[key] = cls(path, values, limit, seed, limit_bytes)
         return _encoders[key]
@@ -109,3 +111,54 @@ class PieceEncoder:
                     p, v = self.cache.popitem()
                     self.bytes -= ENTRY_BYTES + len(p) + len(v)
             self.measured = len(self.cache)
+
+
+_LETTERS = re.compile(" [A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+class WordEncoder(PieceEncoder):
+    """Encodes words of Latin letters without the normalizer and the pattern of the library.
+
+    Only for tokenizers that fold case, take a run of letters as one word and mark its last token with a
+    suffix, which tells where it ends. NFC leaves such letters alone.
+    """
+
+    def __init__(self, path: str, *args, **kwargs):
+        super().__init__(path, *args, **kwargs)
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        spec = json.loads(self.library.to_str())
+        steps = [s["type"] for s in (spec["normalizer"] or {}).get("normalizers", [])]
+        cuts = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.words = None
+        if suffix and steps == ["NFC", "Replace", "Lowercase"] and [c["type"] for c in cuts] == ["Split", "ByteLevel"] and (
+                cuts[0]["pattern"] == {"Regex": _WORDS} and not cuts[1]["add_prefix_space"] and not cuts[1]["use_regex"]):
+            self.words = Tokenizer.from_file(path)
+            self.words.no_truncation()
+            self.words.no_padding()
+            self.words.normalizer = None
+            self.words.pre_tokenizer = pre_tokenizers.Sequence(
+                [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            vocabulary = self.words.get_vocab()
+            self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+
+    def encode_many(self, texts: list[str]) -> list:
+        if self.words is None:
+            return super().encode_many(texts)
+        out: list = [None] * len(texts)
+        match = _LETTERS.fullmatch
+        plain = [i for i, text in enumerate(texts) if match(text)]
+        for at in range(0, len(plain), 512):
+            part = plain[at:at + 512]
+            ids = np.array(self.words.encode("".join([texts[i] for i in part]).lower(), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(part) and ends[-1] == len(ids):
+                for i, value in zip(part, self.values(ids, np.r_[0, ends[:-1]], ends)):
+                    out[i] = value
+        rest = [i for i, value in enumerate(out) if value is None]
+        for i, value in zip(rest, super().encode_many([texts[i] for i in rest])):
+            out[i] = value
+        return out

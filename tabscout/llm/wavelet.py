@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tabscout.llm.pieces import PieceEncoder
+from tabscout.llm.pieces import WordEncoder
 from tabscout.session import scratch_path, ship
 
 SHARD_TOKENS = 1 << 20
@@ -42,7 +42,7 @@ def build_planes(ids: np.ndarray, bits: int) -> tuple[list[int], list[bytes], li
     """(zeros per plane, packed planes, ones before each block of RANK_BITS)."""
     zeros, planes, ranks = [], [], []
     for shift in range(bits - 1, -1, -1):
-        one = np.bitwise_and(ids, ids.dtype.type(1 << shift)).astype(bool)
+        one = np.bitwise_and(ids, ids.dtype.type(1 << shift)) != 0
         packed = np.packbits(one)
         padded = np.zeros(-(-len(packed) * 8 // RANK_BITS) * (RANK_BITS // 8), np.uint8)
         padded[:len(packed)] = packed
@@ -191,7 +191,7 @@ def encode_shards(
     width = len(end)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = PieceEncoder.of(tokenizer, value, 1 << 60, limit_bytes=CACHE_BYTES)
+        tokens = WordEncoder.of(tokenizer, value, 1 << 60, limit_bytes=CACHE_BYTES)
         part, seq = TaskContext.get().partitionId(), 0
         streams, ids, lengths = [], [], []
         held = 0
