@@ -34,7 +34,8 @@ def number_within(
 
     ``bucket`` must not decrease along ``order``. With no keys the whole table is numbered; the
     only unpartitioned window then runs over one row per bucket. ``size`` names a column for the
-    number of rows of the group.
+    number of rows of the group. Rows and offsets are merged: the rows are dealt and sorted for the
+    window already, and Catalyst takes what a Python reader puts out for small enough to broadcast.
     """
     keys = list(keys)
     marked = df.withColumn("_bucket", bucket)
@@ -48,7 +49,7 @@ def number_within(
     )
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     return (
-        marked.withColumn("_rn", F.row_number().over(inside))
+        marked.withColumn("_rn", F.row_number().over(inside)).hint("merge")
         .join(offsets, [*keys, "_bucket"])
         .withColumn(name, (F.col("_before") + F.col("_rn") - 1).cast("bigint"))
         .drop("_bucket", "_rn", "_before")

@@ -55,3 +55,17 @@ def test_more_buckets_than_rows_need(spark):
     df = spark.range(500).withColumn("x", h(F.col("id")))
     got = number_within(df, [], hash_bucket(F.col("x"), 4096), ["x"], "ord").orderBy("x").toPandas()
     assert list(got["ord"]) == list(range(500))
+
+
+def test_rows_of_a_python_reader_are_not_broadcast(spark):
+    """Their estimated size is that of the reader's input, a few paths."""
+    def read(batches):
+        for pdf in batches:
+            for i in pdf["id"]:
+                yield pd.DataFrame({"g": [f"a{i}"] * 50, "b": [j // 10 for j in range(50)], "i": list(range(50))})
+
+    rows = spark.range(4).mapInPandas(read, "g string, b long, i long")
+    got = number_within(rows, ["g"], F.col("b"), ["i"], "ord")
+    assert [r.ord for r in got.orderBy("g", "i").collect()] == list(range(50)) * 4
+    got.collect()
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
