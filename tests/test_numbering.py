@@ -69,3 +69,13 @@ def test_rows_of_a_python_reader_are_not_broadcast(spark):
     assert [r.ord for r in got.orderBy("g", "i").collect()] == list(range(50)) * 4
     got.collect()
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sorted_rows_are_stored_once_and_not_shuffled_again(spark):
+    df = spark.range(500).selectExpr("id % 7 AS k", "id")
+    got = number_sorted(df, ["k", "id"], "ord")
+    rows = [(r.k, r.id) for r in got.orderBy("ord").collect()]
+    assert rows == sorted(rows) and len(rows) == 500
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ExistingRDD" not in plan

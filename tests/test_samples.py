@@ -240,3 +240,12 @@ def test_triplets_are_drawn_in_rounds(spark, monkeypatch):
     assert len(some) == 1000 and drawn[-1] < 2500  # of 3000 that may be drawn
     assert some[:300] == rows(300) and some == rows(1500)[:1000]
     assert rows(0) == []
+
+
+def test_first_by_cuts_without_a_shuffle_of_rows(spark):
+    df = written(spark.range(1000).where("id % 3 <> 1").selectExpr("id * 7 AS at", "cast(id AS string) AS text"), "places")
+    places = sorted(r["at"] for r in df.collect())
+    for n in (0, 1, 100, 666, 667, 668, 2000):
+        got = samples.first_by(df, "at", n, bucket_rows=64)
+        assert sorted(r["at"] for r in got.collect()) == places[:n]
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
