@@ -202,3 +202,30 @@ def test_queries_read_stored_cells(spark):
     twice = search.exact_topk(queries.unionByName(queries), vectors, 7, exclude_self=True, broadcast_values=0, n_pivots=9)
     one = [r for r in twice.where("query_id = 't0001'").orderBy("rank").collect()]
     assert [r["rank"] for r in one] == list(range(1, 8)) and [r.table_id for r in one[:4]] == [sorted(got["t0001"])[0][1]] * 4
+
+
+def test_tiles_give_the_best_of_a_block_and_bound_what_is_held(monkeypatch):
+    """Ties, own ids and limits across tiles; no product is larger than a tile."""
+    rng = np.random.default_rng(5)
+    c = np.round(rng.standard_normal((3000, 8)), 1)
+    c /= np.linalg.norm(c, axis=1, keepdims=True)
+    c[1000:2000] = c[:1000]  # every score twice
+    ids = np.array([f"t{i}" for i in rng.permutation(3000)])
+    q, q_ids = c[::7], ids[::7]
+    scores = np.round(q @ c.T, search.DIGITS) + 0.0
+    want = []
+    for i, own in enumerate(q_ids):
+        order = [j for j in np.lexsort((ids, -scores[i])) if ids[j] != own][:10]
+        want += [(i, ids[j], scores[i, j]) for j in order]
+    sizes, partition = [], np.partition
+    monkeypatch.setattr(np, "partition", lambda s, *a, **b: sizes.append(s.shape) or partition(s, *a, **b))
+    for chunk, tile in ((1 << 21, 8192), (6400, 64), (1000, 100)):
+        monkeypatch.setattr(search, "_CHUNK", chunk)
+        monkeypatch.setattr(search, "_TILE", tile, raising=False)
+        for floor in (None, np.array([w[2] for w in want[9::10]])):
+            row, table, score = search._join(search._select(q_ids, q, ids, c, 10, True, floor))
+            order = np.lexsort((table, -score, row))
+            assert [(r, t) for r, t, _ in want] == list(zip(row[order].tolist(), table[order].tolist()))
+            assert np.allclose([w[2] for w in want], score[order], atol=1e-9)
+        assert all(n * width <= chunk and width <= tile for n, width in sizes)
+        sizes.clear()
